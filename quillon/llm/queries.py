@@ -31,6 +31,61 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_files)}
-
-ORACLES: dict[str, str] = {}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.secrets import STRONG, as_text, count_of, find_secrets
+
+    found, spans = find_secrets(table(spark, sf_dir, "documents")), F.col("spans")
+    return found.select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in STRONG],
+        F.sha2(as_text(spans, STRONG), 256).alias("base_sha256"),
+        as_text(spans).alias("spans"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.chat import as_events, read_loss, read_turns, reconstruct, render
+
+    says = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    chats = render(reconstruct(as_events(rows.unionByName(own))))
+    chats = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_secret_scan, op5_token_files, op8_mixing, op10_chat_format)}
+
+# Characters that escaping adds: one for each backslash and each control string.
+_ADDED = "+".join(f"(length({{0}}) - length(replace({{0}}, '{s}', ''))) // {len(s)}" for s in ("\\", "<s>", "</s>", "[INST]", "[/INST]"))
+
+ORACLES: dict[str, str] = {
+    "op10_chat_format": f"""
+        with said as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+            union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '')) as loss_sha256,
+            cast(sum(20 + length(role) + length(text) + {_ADDED.format("role")} + {_ADDED.format("text")}) as bigint) as formatted_chars
+        from said group by conv_id
+    """,
+}
