@@ -69,7 +69,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_secret_scan, op5_token_files, op8_mixing, op10_chat_format)}
+def op1_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.filter(~held_out()))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.simhash import simhash_groups
+
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.sketches import compare_with_edited
+
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_vector_forest, op2_language, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_simhash, op7_sketches, op8_mixing, op10_chat_format)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 # Characters that escaping adds: one for each backslash and each control string.
 _ADDED = "+".join(f"(length({{0}}) - length(replace({{0}}, '{s}', ''))) // {len(s)}" for s in ("\\", "<s>", "</s>", "[INST]", "[/INST]"))
