@@ -144,10 +144,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     chosen = open_rows.withColumn("rank", rank).join(starts, F.col("s").eqNullSafe(F.col("source")) & (F.col("l") == F.col("level")) & (F.col("b") == F.col("bucket")))
     chosen = chosen.filter(F.col("start") + F.col("rank") <= F.col("extra")).select("_uid", F.lit(1).cast("long").alias("one"))
 
-    facts = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "least")
-    return (
-        table.join(chosen, "_uid", "left")
-        .join(facts, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
-        .withColumn("copies", F.col("least") + F.coalesce("one", F.lit(0)))
-        .select(*kept, "source_size", "target", "copies")
-    )
+    decided = rows.join(chosen, "_uid", "left").select("_uid", "source_size", "target", (F.col("least") + F.coalesce("one", F.lit(0))).alias("copies"))
+    return table.join(decided, "_uid").select(*kept, "source_size", "target", "copies")

@@ -50,6 +50,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.chat import as_events, read_loss, read_turns, reconstruct, render
 
@@ -96,7 +102,7 @@ def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edited(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_vector_forest, op2_language, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_simhash, op7_sketches, op8_mixing, op10_chat_format)
+OPERATORS = (op1_vector_forest, op2_language, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_simhash, op7_sketches, op8_mixing, op9_passages, op10_chat_format)
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 # Characters that escaping adds: one for each backslash and each control string.
