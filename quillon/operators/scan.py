@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.fixed import GRADE_WEIGHT, LONG_VALUE, NER_RELIABILITY_ELSE, V16, Pattern, Profile
 from quillon.functions.text import truncated
 from quillon.functions.validators import validator, verdict
+from quillon.work import stash
 
 ENTITY = (
     "struct<entity:string, ner:int, regex:int, ner_score:double, regex_score:double, matches:int, weight:int, exact:boolean, "
@@ -29,15 +31,14 @@ def matches(value: Column, pattern: Pattern) -> Column:
 
 def match_rows(df: DataFrame, column: str = "value", as_of: date | None = None, profile: Profile = V16, patterns: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with a row for each match: entity, pattern, score, span, validator_pass (null without a validator)."""
-    parts = []
-    for p in profile.patterns:
-        if patterns is None or p.name in patterns:
-            check = validator(p.entity, F.lit(""), as_of, profile) is not None
-            found = lambda m, p=p, check=check: F.struct(
-                F.lit(p.entity).alias("entity"), F.lit(p.name).alias("pattern"), F.lit(p.score).alias("score"), m.alias("span"),
-                (validator(p.entity, m, as_of, profile) if check else F.lit(None).cast("boolean")).alias("validator_pass"),
-            )
-            parts.append(F.transform(matches(F.col(column), p), found))
+
+    def as_struct(p: Pattern, span: Column) -> Column:
+        passed = validator(p.entity, span, as_of, profile)
+        passed = F.lit(None).cast("boolean") if passed is None else passed
+        return F.struct(F.lit(p.entity).alias("entity"), F.lit(p.name).alias("pattern"), F.lit(p.score).alias("score"), span.alias("span"), passed.alias("validator_pass"))
+
+    chosen = [p for p in profile.patterns if patterns is None or p.name in patterns]
+    parts = [F.transform(matches(F.col(column), p), partial(as_struct, p)) for p in chosen]
     return df.select("*", F.inline(F.flatten(F.array(*parts))))
 
 
@@ -61,36 +62,51 @@ def match_spans(df: DataFrame, column: str = "value", profile: Profile = V16) ->
     return df.mapInPandas(scan, f"{kept}, entity string, pattern string, score double, span string, start int, end int")
 
 
-def _any(columns: list[Column]) -> Column:
-    """True if any is true, false if some are known, null if none is."""
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+def _lookup(values: list, key: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), key)
+
+
+def _hits(value: Column, place: int, p: Pattern, as_of: date | None, profile: Profile) -> Column:
+    """Array of one struct: the pattern's place, its number of matches, and whether any verdict is true, any false.
+
+    The matches are bound to a variable, so that the pattern stands in the plan, and runs, once.
+    """
+
+    def counted(found: Column) -> Column:
+        check = lambda m: validator(p.entity, m, as_of, profile)
+        known = check(F.lit("")) is not None
+        verdict_is = lambda wanted: F.when(F.size(found) > 0, F.exists(found, lambda m: check(m) == wanted)) if known else F.lit(None).cast("boolean")
+        return F.struct(F.lit(place).alias("p"), F.size(found).alias("n"), verdict_is(True).alias("passed"), verdict_is(False).alias("failed"))
+
+    return F.transform(F.array(matches(value, p)), counted)
 
 
 def regex_entities(value: Column, as_of: date | None, profile: Profile) -> Column:
     """Array of ENTITY, one for each entity with a match in the value; no row is made for a match."""
-    found = {p.name: F.col(f"_m_{p.name}") for p in profile.patterns}
-    structs = []
-    for entity in dict.fromkeys(p.entity for p in profile.patterns):
-        own = [p for p in profile.patterns if p.entity == entity]
-        hit = [F.size(found[p.name]) > 0 for p in own]
-        pick = lambda values, other: F.greatest(*[F.when(h, F.lit(v)).otherwise(other) for h, v in zip(hit, values)], F.lit(other))
-        passed, failed = F.lit(None).cast("boolean"), F.lit(None).cast("boolean")
-        if validator(entity, F.lit(""), as_of, profile) is not None:
-            verdicts = [F.transform(found[p.name], lambda m: validator(entity, m, as_of, profile)) for p in own]
-            every = F.concat(*verdicts)
-            passed = F.when(F.size(every) > 0, F.exists(every, lambda v: v))
-            failed = F.when(F.size(every) > 0, F.exists(every, lambda v: ~v))
-        structs.append(
-            F.struct(
-                F.lit(entity).alias("entity"), F.lit(0).alias("ner"), pick([round(p.reliability * 100) for p in own], 0).alias("regex"),
-                F.lit(0.0).alias("ner_score"), pick([p.score * p.reliability for p in own], 0.0).alias("regex_score"),
-                sum((F.size(found[p.name]) for p in own), F.lit(0)).alias("matches"),
-                sum((F.size(found[p.name]) * round(GRADE_WEIGHT[p.grade] * 100) for p in own), F.lit(0)).alias("weight"),
-                F.coalesce(_any([h & (p.grade != "broad") for h, p in zip(hit, own)]), F.lit(False)).alias("exact"),
-                passed.alias("passed"), failed.alias("failed"), pick([p.score for p in own], 0.0).alias("top"),
-            )
+    table = profile.patterns
+    hits = F.filter(F.flatten(F.array(*[_hits(value, i, p, as_of, profile) for i, p in enumerate(table)])), lambda h: h["n"] > 0)
+    entity = partial(_lookup, [p.entity for p in table])
+    reliability = partial(_lookup, [round(p.reliability * 100) for p in table])
+    strength = partial(_lookup, [p.score * p.reliability for p in table])
+    score = partial(_lookup, [p.score for p in table])
+    weight = partial(_lookup, [round(GRADE_WEIGHT[p.grade] * 100) for p in table])
+    exact = partial(_lookup, [p.grade != "broad" for p in table])
+
+    def summed(name: Column, own: Column) -> Column:
+        most = lambda of: F.array_max(F.transform(own, of))
+        total = lambda of: F.aggregate(own, F.lit(0), lambda acc, h: acc + of(h))
+        return F.struct(
+            name.alias("entity"), F.lit(0).alias("ner"), most(lambda h: reliability(h["p"])).alias("regex"), F.lit(0.0).alias("ner_score"),
+            most(lambda h: strength(h["p"])).alias("regex_score"), total(lambda h: h["n"]).alias("matches"), total(lambda h: h["n"] * weight(h["p"])).alias("weight"),
+            F.exists(own, lambda h: exact(h["p"])).alias("exact"), most(lambda h: h["passed"]).alias("passed"), most(lambda h: h["failed"]).alias("failed"),
+            most(lambda h: score(h["p"])).alias("top"),
         )
-    return F.filter(F.array(*structs).cast(f"array<{ENTITY}>"), lambda e: e["matches"] > 0)
+
+    def by_entity(all_hits: Column) -> Column:
+        names = F.array_distinct(F.transform(all_hits, lambda h: entity(h["p"])))
+        return F.transform(names, lambda name: summed(name, F.filter(all_hits, lambda h: entity(h["p"]) == name)))
+
+    return F.get(F.transform(F.array(hits), by_entity), F.lit(0)).cast(f"array<{ENTITY}>")
 
 
 def scanned_values(values: DataFrame, profile: Profile = V16) -> DataFrame:
@@ -106,7 +122,6 @@ def scan_table(values: DataFrame, as_of: date | None = None, profile: Profile =
     ``value`` is as it was scanned, and null where nothing was found, so that a written table holds no more text than it must.
     """
     found = values.select("column_name", "rows", (F.length("value") > LONG_VALUE).alias("long"), truncated(F.col("value"), profile.cut_mark).alias("value"))
-    found = found.select("*", *[matches(F.col("value"), p).alias(f"_m_{p.name}") for p in profile.patterns])
     found = found.select("column_name", "value", "rows", "long", regex_entities(F.col("value"), as_of, profile).alias("entities"))
     return found.withColumn("value", F.when(F.size("entities") > 0, F.col("value")))
 
@@ -119,8 +134,11 @@ def evidence_of(scanned: DataFrame) -> DataFrame:
 
 
 def regex_evidence(values: DataFrame, as_of: date | None = None, profile: Profile = V16) -> DataFrame:
-    """(column_name, value, rows, entities): values of a dictionary with a match."""
-    return evidence_of(scan_table(values, as_of, profile))
+    """(column_name, value, rows, entities): values of a dictionary with a match.
+
+    The scan is written before it is filtered, else Spark would run all patterns in the filter as well.
+    """
+    return evidence_of(stash(scan_table(values, as_of, profile), "scanned"))
 
 
 def ner_entities(detections: DataFrame, as_of: date | None = None, profile: Profile = V16) -> DataFrame:

@@ -14,8 +14,9 @@ from quillon.operators import masking, reports
 from quillon.operators.cells import column_sizes, dictionary
 from quillon.operators.metrics import candidate_text, entity_metrics
 from quillon.operators.sampling import stratified_sample
-from quillon.operators.scan import match_rows, match_spans, priority, regex_evidence, scan_table
+from quillon.operators.scan import evidence_of, match_rows, match_spans, priority, regex_evidence, scan_table
 from quillon.plans.profile import profile_table, profile_tables
+from quillon.work import stash
 
 #: Day for ages, so that results don't depend on when they are computed.
 AS_OF = date(2025, 1, 1)
@@ -266,9 +267,8 @@ def _metrics_sql(source: str, column: str) -> str:
 
 
 def _metrics(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
-    scanned = scan_table(dictionary(table(spark, sf_dir, name), [column]), AS_OF)
-    found = regex_evidence(dictionary(table(spark, sf_dir, name), [column]), AS_OF)
-    return entity_metrics(found, column_sizes(scanned)).select("entity", "support_count", "regex_raw", "regex_weighted", "specificity", "exact_support", "row_support")
+    scanned = stash(scan_table(dictionary(table(spark, sf_dir, name), [column]), AS_OF), "scanned")
+    return entity_metrics(evidence_of(scanned), column_sizes(scanned)).select("entity", "support_count", "regex_raw", "regex_weighted", "specificity", "exact_support", "row_support")
 
 
 @query(_metrics_sql("documents", "text"))
