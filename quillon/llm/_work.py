@@ -1,52 +1,14 @@
-"""Shared work folder, tables written to cut lineage, and helpers for Arrow batches."""
+"""Shared work folder of the library, and helpers for Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+from quillon.work import discard, new_folder, shared_folder, stash
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset, as in tests on one machine, a temporary folder of our own is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
-        base = _LOCAL[0]
-    return f"{base.rstrip('/')}/quillon"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table read back.
-
-    This cuts lineage: whatever executor is lost later, the rows are read, not computed again.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``stash`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{shared_folder(spark).split(':', 1)[-1].lstrip('/')}/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "new_folder", "shared_folder", "stash", "text_slices"]
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
