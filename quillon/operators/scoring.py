@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.fixed import IDENTIFIERS, NAME_TERMS, NATURAL, OPAQUE, SPARSE, THRESHOLD_ELSE, THRESHOLDS, V16, Profile
 from quillon.functions.names import contradiction, name_facts, rivalry
 from quillon.operators.zero_shot import METRICS
+from quillon.work import stash
 
 
 @dataclass
@@ -107,7 +108,8 @@ def profiles(rows: DataFrame, metrics: DataFrame, names: DataFrame, columns: Dat
         df = df.withColumns({m: F.lit(0.0) for m in METRICS})
     else:
         df = df.join(zero_shot, ["column_name", "entity"], "left")
-    df = df.fillna(0, [*_ZERO, "semantic", "rival_gap", "contradiction", *METRICS]).fillna(False, ["negative"])
+    # Written here, so that the steps below are planned over a scan and not over all that led to it.
+    df = stash(df.fillna(0, [*_ZERO, "semantic", "rival_gap", "contradiction", *METRICS]).fillna(False, ["negative"]), "candidates")
     entity, s, v, g, cnt = (F.col(c) for c in ("entity", "semantic", "validator", "g_value", "support_count"))
     whole = Window.partitionBy("column_name")
     of = lambda name, c: F.coalesce(F.max(F.when(entity == name, F.col(c))).over(whole), F.lit(0.0))

@@ -66,7 +66,7 @@ def profile_tables(
     by_entity, by_column = name_tables(spark, names, profile)
     rows = candidates(metrics, by_entity, zero_shot)
     confirmed = None if zero_shot is None else zero_shot_metrics(rows, chosen, zero_shot)
-    scored = profiles(rows, metrics, by_entity, by_column.join(sizes, "column_name"), confirmed, policy, profile)
+    scored = stash(profiles(rows, metrics, by_entity, by_column.join(sizes, "column_name"), confirmed, policy, profile), "scored")
     decided = decisions(scored, candidate_text(metrics))
     places = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "column_name string, place int").join(sizes, "column_name", "left")
     out = results(places, decided, sample_coverage(chosen, metrics, found), profile)
