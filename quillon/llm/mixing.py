@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     first = F.min(F.when(F.col("share") <= ratio, F.struct("order", "share"))).over(whole)
     levels = weighted.withColumns({"share": share, "order": F.row_number().over(Window.orderBy(ratio, F.col("source").asc_nulls_last()))}).withColumn("level", first["share"])
     target = F.when(F.col("level").isNull() | (ratio < F.col("level")), F.col("most")).otherwise(F.col("level") * F.col("weight"))
-    return levels.select("source", "source_size", (F.col("source_size") / F.col("docs")).alias("mean"), target.alias("target"))
+    return levels.select("source", "source_size", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("mean"), target.alias("target"))
 
 
 def _rate(limit: int) -> Column:
