@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.fixed import V16, Profile
-from quillon.functions.text import compact_alnum, digits_only
+from quillon.functions.text import compact_alnum, constants, digits_only
 
 # Ages in years that a date of birth may give.
 YOUNGEST, OLDEST = 0, 120
@@ -38,7 +38,7 @@ def _dihedral() -> tuple[list[int], list[int]]:
 
 
 def verhoeff(value: Column) -> Column:
-    product, powers = (F.array(*map(F.lit, x)) for x in _dihedral())
+    product, powers = map(constants, _dihedral())
     digits = digits_only(value)
     places = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.struct(d.cast("int").alias("d"), i.alias("i")))
     check = F.aggregate(places, F.lit(0), lambda c, p: F.get(product, c * 10 + F.get(powers, (p["i"] % 8) * 10 + p["d"])))

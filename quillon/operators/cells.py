@@ -33,7 +33,9 @@ def dictionary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     """
     raw = cells(df, columns).filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
     tidy = normalized(raw).filter(~is_null_like(F.col("value")))
-    return tidy.groupBy("column_name", "value").agg(F.sum("rows").alias("rows"))
+    # The number of partitions is said, for what follows is costly for each byte: else few would be left of a small table.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tidy.repartition(n, "column_name", "value").groupBy("column_name", "value").agg(F.sum("rows").alias("rows"))
 
 
 def column_sizes(values: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.fixed import GRADE_WEIGHT, LONG_VALUE, NER_RELIABILITY_ELSE, V16, Pattern, Profile
-from quillon.functions.text import truncated
+from quillon.functions.text import constants, truncated
 from quillon.functions.validators import validator, verdict
 from quillon.work import stash
 
@@ -63,7 +63,7 @@ def match_spans(df: DataFrame, column: str = "value", profile: Profile = V16) ->
 
 
 def _lookup(values: list, key: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), key)
+    return F.get(constants(values), key)
 
 
 def _hits(value: Column, place: int, p: Pattern, as_of: date | None, profile: Profile) -> Column:
