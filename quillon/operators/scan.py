@@ -69,16 +69,18 @@ def _lookup(values: list, key: Column) -> Column:
 def _hits(value: Column, place: int, p: Pattern, as_of: date | None, profile: Profile) -> Column:
     """Array of one struct: the pattern's place, its number of matches, and whether any verdict is true, any false.
 
-    The matches are bound to a variable, so that the pattern stands in the plan, and runs, once.
+    Matches become their verdicts, and these are bound to a variable, so that the pattern stands in the
+    plan, and runs, once.
     """
+    known = p.entity in profile.validators
+    verdicts = F.transform(matches(value, p), lambda m: validator(p.entity, m, as_of, profile)) if known else matches(value, p)
 
     def counted(found: Column) -> Column:
-        check = lambda m: validator(p.entity, m, as_of, profile)
-        known = check(F.lit("")) is not None
-        verdict_is = lambda wanted: F.when(F.size(found) > 0, F.exists(found, lambda m: check(m) == wanted)) if known else F.lit(None).cast("boolean")
-        return F.struct(F.lit(place).alias("p"), F.size(found).alias("n"), verdict_is(True).alias("passed"), verdict_is(False).alias("failed"))
+        none = F.lit(None).cast("boolean")
+        any_is = lambda test: F.when(F.size(found) > 0, F.exists(found, test)) if known else none
+        return F.struct(F.lit(place).alias("p"), F.size(found).alias("n"), any_is(lambda v: v).alias("passed"), any_is(lambda v: ~v).alias("failed"))
 
-    return F.transform(F.array(matches(value, p)), counted)
+    return F.transform(F.array(verdicts), counted)
 
 
 def regex_entities(value: Column, as_of: date | None, profile: Profile) -> Column:
