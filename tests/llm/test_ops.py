@@ -456,6 +456,37 @@ def test_passages(spark, docs, none):
     assert repeated_passages(docs).count() == 0 and repeated_passages(none).count() == 0
 
 
+def _passage_docs(texts):
+    import numpy as np
+
+    from quillon.llm.passages import _windows, verify
+
+    rows = _windows([t.encode() for t in texts], np.arange(len(texts)))
+    order = np.lexsort((rows["at"], rows["doc"], rows["key"]))
+    return {int(d) for d in verify({c: v[order] for c, v in rows.items()})["doc"]}
+
+
+def test_passages_with_words_put_in_and_left_out():
+    rng = random.Random(11)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    among = lambda words: " ".join([word() for _ in range(rng.randint(0, 80))] + words + [word() for _ in range(rng.randint(0, 80))])
+    judged = 0
+    for k in range(240):
+        passage = [word() for _ in range(rng.randint(51, 110))]
+        edited = list(passage)
+        for _ in range(1 if len(passage) < 92 else 2):
+            at = rng.randrange(5, len(edited) - 5)
+            edited[at : at + (k % 3 != 1)] = [] if k % 3 == 0 else [word()]
+        a, b = shingles(passage), shingles(edited)
+        alike = len(a & b) / len(a | b)
+        if alike >= 0.8 and len(edited) >= 50:
+            judged += 1
+            assert _passage_docs([among(passage), among(edited)]) == {0, 1}, (k, alike)
+    assert judged > 200
+    assert _passage_docs([among(passage[:42]), among(passage[:42])]) == set()
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
