@@ -487,6 +487,19 @@ def test_passages_with_words_put_in_and_left_out():
     assert _passage_docs([among(passage[:42]), among(passage[:42])]) == set()
 
 
+@pytest.mark.parametrize("seed", range(12, 18))
+def test_passages_that_go_on_from_a_frequent_line(seed):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    own = lambda: [word() for _ in range(30)]
+    line, more = [word() for _ in range(44)], [[word() for _ in range(6)] for _ in range(12)]
+    texts = [own() + line + (more[i % 150] if i % 150 < 12 else []) + own() for i in range(300)]
+    want = {i for i in range(300) if i % 150 < 12}
+    got = _passage_docs([" ".join(t) for t in texts])
+    # Codes of 16 bits let a token that follows the line agree by chance in about one pair of 30,000.
+    assert want <= got and len(got - want) <= 10
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
