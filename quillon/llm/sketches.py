@@ -32,7 +32,7 @@ RUNS = 8
 def sketches(texts: list[bytes], width: int = WIDTH, scale: int = SCALE) -> list[np.ndarray]:
     """Sorted distinct hashes kept of each text; empty for a text without words."""
     data, offsets = flat(texts)
-    words, _, _, before = word_hashes(data, offsets)
+    words, before = word_hashes(data, offsets)
     hashes, ends = shingle_hashes(words, before, width)
     kept = hashes < np.uint64((1 << 64) // scale)
     places = np.flatnonzero(kept)
