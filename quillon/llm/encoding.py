@@ -3,7 +3,8 @@
 A byte-pair tokenizer works on pre-tokens that never reach across the start of a run of white
 space, so the ids of a text are the ids of its chunks, one after the other. Running text repeats
 most of its chunks; each worker keeps the ids of those it has met, in two generations of bounded
-size, and gives only new ones to the library. Tokenizers of another shape are run as they are.
+size, and gives only new ones to the library. Tokenizers of another shape, and texts that hold the
+string of an added token, are run as they are.
 """
 
 from __future__ import annotations
@@ -35,14 +36,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
+    These are what the library gives with add_special_tokens=False. It takes strings of special tokens in a text
+    for these tokens; ``as_text`` makes them ordinary text.
+    """
+
+    def __init__(self, path: str, as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.model = self.whole.model
@@ -60,6 +65,9 @@ class Encoder:
         self.letters = _byte_letters()
         # What this module cuts itself; anything else goes to the library as a chunk.
         self.simple = re.compile("[\\t\\n\\r -~\\u00a1-\\u024f\\u0370-\\u03ff\\u0400-\\u04ff]+").fullmatch
+        # A text with a string of an added token, in whatever case, goes to the library whole: it cuts these out first.
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -100,6 +108,9 @@ class Encoder:
             return [self._whole(t) for t in texts]
         out = []
         for text in texts:
+            if self.added(text):
+                out.append(self._whole(text))
+                continue
             known, parts = self.young.get, self.chunks.findall(text)
             found = list(map(known, parts))
             if None in found:
@@ -108,11 +119,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, as_text: bool = False) -> Encoder:
     """One encoder a tokenizer in each Python worker, which Spark keeps for later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, as_text) not in _ENCODERS:
+        _ENCODERS[path, as_text] = Encoder(path, as_text)
+    return _ENCODERS[path, as_text]

@@ -29,12 +29,14 @@ GROUP = 32_768
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, specials_as_text: bool = False) -> DataFrame:
     """The ids of every whole text, with ``end_id`` after them, cut every ``capacity`` ids.
 
     ``docs`` needs doc_id and text; other columns are left aside. Null text counts as empty and
     gives the end id alone; a null doc_id and repeated rows stay. ``ids`` holds little-endian
-    unsigned 32-bit integers; ``start`` counts the document's ids before the piece.
+    unsigned 32-bit integers; ``start`` counts the document's ids before the piece. Texts of any length
+    are encoded whole; an empty table gives an empty one. ``specials_as_text``: strings of special tokens
+    in a text are ordinary text and not these tokens.
     """
     end = int(end_id).to_bytes(4, "little")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -42,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillon.llm.encoding import encoder
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, specials_as_text).encode
         for batch in batches:
             for part in text_slices(batch):
                 ids = [x + end for x in encode([t or "" for t in part.column("text").to_pylist()])]
