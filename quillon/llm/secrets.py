@@ -2,10 +2,11 @@
 
 Strong parts (keyword assignments, access keys, long hex) always count. Weak parts (identifiers of
 an account, bare key-like tokens, endpoints) are what clean texts hold as well; they count only as
-part of a credential: an interval join links the parts of a scope, that is a run of lines without an
-empty line between them, whose intervals widened by ``REACH`` characters meet. An identifier needs a
-secret near it, a bare token an identifier, an endpoint both. Parts of a document are joined in
-order of position with binary search, so a text of any length takes n log n.
+part of a credential: parts are joined with the scopes that their intervals lie in, a scope being a
+run of lines without an empty line between them. An identifier needs a secret in its scope; a bare
+token an identifier, an access key or the endpoint of a service; the endpoint of a service a secret;
+and a web address, which is seldom part of one, an assignment, or a secret and an identifier. Parts
+and scopes are swept in order, so a text of any length takes n log n.
 """
 
 from __future__ import annotations
@@ -35,9 +36,6 @@ KEY = re.compile("(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z
 ENDPOINT = re.compile("(?ai:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb|s3)://[^\\s\"'<>]+|(?ai:host|endpoint|region|server)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9_.:-]{3,}")
 EMPTY_LINE = re.compile("\\n[ \\t\\r]*\\n")
 
-#: Characters between two parts of one credential.
-REACH = 200
-
 Span = tuple[str, int, int]
 
 
@@ -57,43 +55,51 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-class _Parts:
-    """Parts of one side, to ask whether any lies within reach of a span and in its scope."""
-
-    def __init__(self, spans: list[Span], cuts: list[int]):
-        self.cuts = cuts
-        self.spans = sorted({(s, e) for _, s, e in spans})
-        self.starts = [s for s, _ in self.spans]
-        self.longest = max([e - s for s, e in self.spans], default=0)
+def linked_spans(text: str, strong: list[Span]) -> list[Span]:
+    """The weak parts of ``text`` that complementary parts of their scope make credentials.
 
-    def near(self, start: int, end: int) -> bool:
-        scope = bisect_right(self.cuts, start)
-        at = bisect_left(self.starts, start - REACH - self.longest)
-        while at < len(self.starts) and self.starts[at] <= end + REACH:
-            s, e = self.spans[at]
-            if e + REACH >= start and (e <= start or end <= s) and bisect_right(self.cuts, s) == scope:
-                return True
-            at += 1
-        return False
+    Weak parts that overlap strong ones don't count. One sweep over the parts notes what each scope holds.
+    """
+    named = ":" in text or "=" in text
+    found: list[Span] = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)] if named else []
+    endpoints = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if named else []
+    services = [s for s in endpoints if text[s[1] : s[1] + 4].lower() != "http"]
+    if found or services or any(kind == "access" for kind, _, _ in strong):
+        found += [("key", *m.span()) for m in KEY.finditer(text)]
+    found += endpoints
+    if not found:
+        return []
+    starts, ends, reach = [], [], 0
+    for _, start, end in strong:  # in order of start, so the furthest end so far tells whether any goes on
+        reach = max(reach, end)
+        starts.append(start)
+        ends.append(reach)
 
+    def free(span: Span) -> bool:
+        before = bisect_left(starts, span[2])
+        return span[0] == "identifier" or not before or ends[before - 1] <= span[1]
 
-def linked_spans(text: str, strong: list[Span]) -> list[Span]:
-    """The weak parts of ``text`` that complementary parts of their scope make credentials."""
-    identifiers: list[Span] = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
-    access = [s for s in strong if s[0] == "access"]
-    if not identifiers and not access:
-        return []
-    taken = [(s, e) for _, s, e in strong]
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
-    keys: list[Span] = [("key", *m.span()) for m in KEY.finditer(text) if free(m)]
-    secrets = [s for s in strong if s[0] != "access"] + keys
-    if not secrets:
-        return []
+    found = [s for s in found if free(s)]
     cuts = [m.start() for m in EMPTY_LINE.finditer(text)]
-    owners, hidden = _Parts(access + identifiers, cuts), _Parts(secrets, cuts)
-    found = [s for s in identifiers if hidden.near(*s[1:])] + [s for s in keys if owners.near(*s[1:])]
-    found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if free(m) and owners.near(*m.span()) and hidden.near(*m.span())]
-    return found
+    scope = lambda span: bisect_right(cuts, span[1])
+    held: dict[int, set[str]] = {}
+    for span in strong + found:
+        held.setdefault(scope(span), set()).add(span[0])
+    for span in services:
+        if free(span):
+            held[scope(span)].add("service")
+
+    def complete(span: Span) -> bool:
+        has = held[scope(span)]
+        owner, secret = has & {"access", "identifier"}, has & {"assign", "hex", "key"}
+        if span[0] == "identifier":
+            return bool(secret)
+        if span[0] == "key":
+            return bool(owner or "service" in has)
+        web = text[span[1] : span[1] + 4].lower() == "http"
+        return bool(secret and (owner or "assign" in has or not web))
+
+    return [s for s in found if complete(s)]
 
 
 def secret_spans(text: str | None) -> list[Span]:
