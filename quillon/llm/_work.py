@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillon.work import discard, new_folder, shared_folder, stash
 
-__all__ = ["discard", "new_folder", "shared_folder", "stash", "text_slices"]
+__all__ = ["beside", "discard", "free_name", "new_folder", "shared_folder", "stash", "text_slices"]
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it none of ``taken``, in whatever case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def beside(docs: DataFrame, names: Iterable[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``step``, which adds columns of ``names``: what had such a name before keeps its values.
+
+    Names with a dot are changed for the step too: functions over Arrow batches can't have them.
+    """
+    low, taken, new = {n.lower() for n in names}, [*docs.columns, *names], {}
+    for c in docs.columns:
+        if c.lower() in low or "." in c:
+            new[c] = free_name(taken, f"{c}_kept".replace(".", "_"))
+            taken.append(new[c])
+    out = step(docs.withColumnsRenamed(new))
+    return out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:

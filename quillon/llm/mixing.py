@@ -7,8 +7,9 @@ r = min(limit, exp(lambda_source * size / mean_source)). Newton steps, kept insi
 over the counts of documents for each source and size: the text is read once, each step
 aggregates a small table. Rates are rounded into copies level by level of size from long to short
 documents, each level taking over what the longer ones missed, so short documents settle the rest.
-Ranks within a level come from counts of hash buckets and their prefix sums, so no source, however
-large, meets in one task.
+In each level the documents of lowest draw (a hash) get one copy more. The draw up to which that goes is
+found from counts of hash buckets, their prefix sums and the ranks in a single bucket, so no source,
+however large, meets in one task, and texts stay where they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._work import discard, stash
+from quillon.llm._work import discard, free_name, stash
 
 # Weights of the sources in order of code point, again and again.
 WEIGHTS = (5, 2, 1)
@@ -57,9 +58,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return levels.select("source", "source_size", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("mean"), target.alias("target"))
 
 
-def _rate(limit: int) -> Column:
-    tilt = F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(limit)))
-    return F.when(F.col("full") | (F.col("size") == 0), F.when(F.col("size") == 0, F.lit(1.0)).otherwise(float(limit))).otherwise(F.exp(tilt))
+def _rate(limit: int, row: Column | None = None) -> Column:
+    """Copies of a document by its size and its source's multiplier, of columns or of the fields of ``row``."""
+    of = F.col if row is None else row.getField
+    tilt = F.least(of("lam") * of("size") / of("mean"), F.lit(math.log(limit)))
+    return F.when(of("size") == 0, F.lit(1.0)).when(of("full"), float(limit)).otherwise(F.exp(tilt))
 
 
 def solve(sizes: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -93,56 +96,85 @@ def _newton(state: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return moved.withColumns({"lam": lam, "off": off}).select(*state.columns)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, size: Column | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (0 to ``limit``), so that copies times size meet the targets.
+def _level(size: Column) -> Column:
+    return F.when(size > 0, F.floor(F.log2(size) * LEVELS)).otherwise(-1).cast("int")
 
-    ``docs`` needs doc_id, source and, unless ``size`` is given, text (null: size 0). A null source is a
-    source of its own. Documents of size 0 keep one copy, which counts nothing. Repeated rows are rounded
-    one by one; reruns over the same rows agree. An empty table gives an empty table. Columns of these
-    names that ``docs`` has already are replaced.
+
+def _draw(doc_id: Column, size: Column) -> Column:
+    """A document's lot: the same whatever rows are with it."""
+    return F.xxhash64(doc_id, size, F.lit(8))
+
+
+def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """One row a source: source, source_size, target, what a rate needs, and ``cuts``: levels with the highest draw that adds a copy.
+
+    ``sized``: doc_id, source, size, of a written table. A source has at most LEVELS levels for each doubling of size.
     """
-    added = ("size", "source_size", "target", "copies")
-    size = word_count(F.col("text")) if size is None else size
-    table = stash(docs.withColumn("_size", size.cast("long")).drop(*added).withColumnRenamed("_size", "size").withColumn("_uid", F.monotonically_increasing_id()), "sized")
-    kept = [c for c in table.columns if c != "_uid"]
-    sizes = stash(table.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = stash(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     dual = solve(sizes, source_targets(sizes, weights, limit), limit)
-
     rates = sizes.withColumnRenamed("source", "s").join(dual, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("rate", _rate(limit))
-    least = F.floor("rate")
-    level = F.when(F.col("size") > 0, F.floor(F.log2("size") * LEVELS)).otherwise(-1).cast("int")
-    steps = rates.withColumns({"least": F.least(least, F.lit(limit)).cast("long"), "level": level})
+    steps = rates.withColumns({"least": _least(limit), "level": _level(F.col("size"))})
     room = F.when((F.col("least") < limit) & (F.col("size") > 0), F.col("n")).otherwise(0)
     by_level = steps.groupBy("source", "level").agg(
         F.sum(F.col("n") * F.col("size") * (F.col("rate") - F.col("least"))).alias("more"), F.sum(room).alias("room"), F.sum(room * F.col("size")).alias("room_words")
     )
-    # Levels are at most LEVELS for each doubling of size, so a source's array is short.
     item = F.struct((-F.col("level")).alias("order"), "more", "room", "room_words")
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<level:int,extra:bigint>>").alias("done"))
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<level:int,extra:bigint,room:bigint>>").alias("done"))
 
     def settle(acc: Column, x: Column) -> Column:
         due = acc["carry"] + x["more"]
         mean = x["room_words"] / F.when(x["room"] > 0, x["room"])
         extra = F.coalesce(F.greatest(F.lit(0), F.least(x["room"], F.round(due / mean).cast("long"))), F.lit(0).cast("long"))
-        return F.struct((due - extra * F.coalesce(mean, F.lit(0.0))).alias("carry"), F.concat(acc["done"], F.array(F.struct((-x["order"]).alias("level"), extra.alias("extra")))).alias("done"))
+        one = F.struct((-x["order"]).alias("level"), extra.alias("extra"), x["room"].cast("long").alias("room"))
+        return F.struct((due - extra * F.coalesce(mean, F.lit(0.0))).alias("carry"), F.concat(acc["done"], F.array(one)).alias("done"))
 
     quota = by_level.groupBy("source").agg(F.aggregate(F.array_sort(F.collect_list(item)), start, settle)["done"].alias("done")).select("source", F.inline("done"))
-    plan = stash(
-        steps.select("source", "size", "source_size", "target", "least", "level").withColumnsRenamed({"source": "s", "level": "l"})
-        .join(quota, F.col("s").eqNullSafe(F.col("source")) & (F.col("l") == F.col("level"))).select(F.col("s").alias("source"), "size", "source_size", "target", "least", "level", "extra"),
-        "plan",
-    )
+    quota = stash(quota.filter((F.col("extra") > 0)), "quota")
+
+    # The draw of each level's last extra copy: the bucket of draws that it lies in first, then its place in that.
+    named = dual.select(F.col("source").alias("s"), "lam", "mean", "full")
+    lots = sized.join(named, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    lots = lots.withColumns({"least": _least(limit), "level": _level(F.col("size")), "draw": _draw(F.col("doc_id"), F.col("size"))})
+    lots = lots.filter((F.col("least") < limit) & (F.col("size") > 0)).select("source", "level", "draw", F.shiftright("draw", 64 - BUCKETS.bit_length() + 1).alias("bucket"))
+    buckets = lots.groupBy("source", "level", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    sofar = F.sum("rows").over(Window.partitionBy("source", "level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = buckets.select(F.col("source").alias("s"), F.col("level").alias("l"), F.col("bucket").alias("b"), "rows", F.coalesce(sofar, F.lit(0)).alias("start"))
+    at = (F.col("s").eqNullSafe(F.col("source"))) & (F.col("l") == F.col("level"))
+    last = starts.join(quota, at).filter((F.col("extra") > F.col("start")) & (F.col("extra") <= F.col("start") + F.col("rows"))).select("s", "l", "b", (F.col("extra") - F.col("start")).alias("place"))
+    inside = lots.join(last, at & (F.col("b") == F.col("bucket")))
+    rank = F.row_number().over(Window.partitionBy("source", "level").orderBy("draw"))
+    cuts = inside.withColumn("rank", rank).filter(F.col("rank") == F.col("place")).select("source", F.col("level"), "draw")
+    by_source = cuts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("level", "draw"))).alias("cuts")).withColumnRenamed("source", "s")
+    return stash(dual.join(by_source, F.col("s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "mean", "lam", "full", "cuts"), "plan")
 
-    draw = F.xxhash64("doc_id", "size", F.lit(8))
-    rows = table.select("_uid", "doc_id", F.col("source").alias("s"), F.col("size").alias("z")).join(plan, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).drop("s", "z")
-    rows = rows.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
-    open_rows = rows.filter((F.col("least") < limit) & (F.col("size") > 0) & (F.col("extra") > 0))
-    buckets = open_rows.groupBy("source", "level", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    sofar = Window.partitionBy("source", "level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select(F.col("source").alias("s"), F.col("level").alias("l"), F.col("bucket").alias("b"), F.coalesce(F.sum("rows").over(sofar), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("source", "level", "bucket").orderBy("draw", "doc_id", "_uid"))
-    chosen = open_rows.withColumn("rank", rank).join(starts, F.col("s").eqNullSafe(F.col("source")) & (F.col("l") == F.col("level")) & (F.col("b") == F.col("bucket")))
-    chosen = chosen.filter(F.col("start") + F.col("rank") <= F.col("extra")).select("_uid", F.lit(1).cast("long").alias("one"))
-
-    decided = rows.join(chosen, "_uid", "left").select("_uid", "source_size", "target", (F.col("least") + F.coalesce("one", F.lit(0))).alias("copies"))
-    return table.join(decided, "_uid").select(*kept, "source_size", "target", "copies")
+
+def _least(limit: int) -> Column:
+    return F.least(F.floor(_rate(limit)), F.lit(limit)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, size: Column | None = None) -> DataFrame:
+    """``docs`` with size, source_size, target and copies (0 to ``limit``), so that copies times size meet the targets.
+
+    ``docs`` needs doc_id, source and, unless ``size`` is given, text (null: size 0). A null source is a
+    source of its own. Documents of size 0 keep one copy, which counts nothing. Reruns over the same rows
+    agree; rows of the same doc_id and size share their lot, so they are taken or left together. A null
+    doc_id counts as a value. An empty table gives an empty table. Columns of these four names that ``docs``
+    has already are replaced; others are free. Texts of any length are counted whole.
+
+    Texts are never shuffled: sizes are counted into a narrow table, which gives each source its rate and its
+    cuts; then every row is decided where it lies.
+    """
+    added = ("size", "source_size", "target", "copies")
+    size = (word_count(F.col("text")) if size is None else size).cast("long")
+    sized = stash(docs.select(F.col("doc_id"), F.col("source"), size.alias("size")), "sized")
+    own = source_plan(sized, weights, limit).select(F.struct(F.col("source").alias("source"), "source_size", "target", "mean", "lam", "full", "cuts").alias("plan"))
+    kept = [c for c in docs.columns if c.lower() not in added]
+    plan, z, row = (free_name(docs.columns, n) for n in ("plan", "size", "row"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias(z))
+    rows = rows.join(own.withColumnRenamed("plan", plan), F.col("source").eqNullSafe(F.col(plan)["source"]))
+    inner = F.struct(F.col(z).alias("size"), F.col(plan)["mean"].alias("mean"), F.col(plan)["lam"].alias("lam"), F.col(plan)["full"].alias("full"))
+    rows = rows.withColumn(row, inner)
+    least = F.least(F.floor(_rate(limit, F.col(row))), F.lit(limit)).cast("long")
+    cut = F.try_element_at(F.col(plan)["cuts"], _level(F.col(z)))
+    more = F.coalesce((_draw(F.col("doc_id"), F.col(z)) <= cut) & (F.col(z) > 0) & (least < limit), F.lit(False)).cast("long")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(z).alias("size"), F.col(plan)["source_size"].alias("source_size"), F.col(plan)["target"].alias("target"), (least + more).alias("copies"))

@@ -18,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._work import stash, text_slices
@@ -60,16 +60,21 @@ def simhashes(texts: list[bytes | None], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of every whole text; null text counts as empty."""
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """doc_id and fingerprint (the 64 bits as a signed long) of every whole text; null text counts as empty.
+
+    ``digest``: a column of longs over ``docs`` that is returned beside these.
+    """
+    more = [] if digest is None else ["digest"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, limit=1 << 21):
                 found = simhashes(part.column("text").cast(pa.binary()).to_pylist())
-                yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64)), *[part.column(c) for c in more]], names=["doc_id", "fingerprint", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if digest is None else [digest.alias("digest")]))
+    return rows.mapInArrow(scan, "doc_id long, fingerprint long" + "".join(f", {c} long" for c in more))
 
 
 def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,16 +118,18 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return homes.join(visitors, "anchor").filter(near).select("a", "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, bits: int = BITS, digest: Column | None = None) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id, the smallest doc_id reachable over links.
 
     All rows return, repeated ones too; a component whose ids are all null has a null component_id.
-    Null and empty texts have fingerprint zero and link like any other. Other columns are left aside.
+    Null and empty texts have fingerprint zero and link like any other. Other columns are left aside. An
+    empty table gives an empty one; texts of any length are worked on whole. With ``digest`` (a column of
+    longs over ``docs``) it is returned too, and ``root``, a fingerprint that tells the component.
     """
-    prints = stash(fingerprints(docs), "fingerprints")
+    prints = stash(fingerprints(docs, digest), "fingerprints")
     reps = stash(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "representatives")
     stars = components(linked(reps, bits))
     rooted = reps.join(stars, F.col("fingerprint") == F.col("id"), "left").select("fingerprint", "rep", F.coalesce("component", "fingerprint").alias("root"))
     smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
-    whole = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fingerprint").alias("f"), "component_id")
-    return prints.join(whole, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id")
+    whole = rooted.join(smallest, F.col("root") == F.col("r")).select(F.col("fingerprint").alias("f"), "component_id", "root")
+    return prints.join(whole, F.col("fingerprint") == F.col("f")).select("doc_id", "fingerprint", "component_id", *([] if digest is None else ["digest", "root"]))

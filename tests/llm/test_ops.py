@@ -649,3 +649,57 @@ def test_stages(spark, docs):
     assert 50 not in {r.doc_id for r in seen["simhash_dedup"]} and None in {r.doc_id for r in seen["simhash_dedup"]}
     assert not any("abcdefgh99" in (r.text or "") for r in seen["secret_redaction"]) and len(seen["secret_redaction"]) == len(seen["simhash_dedup"])
     assert check_packing(seen["sequence_packing"], 2048) >= 1
+
+
+CLASH = ("lang_pred", "lang_score", "lang_spans", "kept_id", "kept_rank", "own", "hit", "id", "d", "once", "digest", "root", "Size", "source_size", "target", "copies", "copy", "plan", "row", "spans", "place", "bucket", "map", "a.b")
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(WORDS["en"]) for _ in range(60)), "en", f"s{i % 2}", 0, *[i * 10] * len(CLASH)) for i in range(30)]
+    rows += [(100, rows[0][1], "en", "s1", 0, *[1000] * len(CLASH)), (None, rows[1][1], None, None, None, *[None] * len(CLASH))]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH)
+    docs = spark.createDataFrame(rows, fields)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == (None if r.doc_id is None else r.doc_id * 10) for r in got for c in CLASH), name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == len(rows)
+
+
+def test_stages_without_labels_and_with_nulls(spark):
+    from quillon.llm.stages import language_id, simhash_dedup, source_mix
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(["a text", None, "", "12", "ein Text"])], schema)
+    assert {r.doc_id for r in language_id(spark, docs, "").collect()} == {0, 4}
+    empty = spark.createDataFrame([], schema)
+    assert [s(spark, empty, "").count() for s in (language_id, simhash_dedup, source_mix)] == [0, 0, 0]
+    assert sorted(r.doc_id for r in source_mix(spark, docs.filter("doc_id in (1, 2)"), "").collect()) == [1, 2]
+
+
+def test_dedup_keeps_one_document_of_each_group(spark):
+    from quillon.llm.stages import simhash_dedup
+
+    rng = random.Random(14)
+    text = lambda: " ".join(f"w{rng.getrandbits(30)}" for _ in range(60))
+    x, unique, other = text(), text(), text()
+    rows = [(1, x), (5, x), (5, unique), (7, unique), (9, other), (9, other), (9, other), (11, None), (12, ""), (None, x), (3, x + " more"), (3, x)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in simhash_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, x), (5, unique), (9, other), (11, None), (None, x)] + ([(3, x + " more")] if (brute_simhash(x) ^ brute_simhash(x + " more")).bit_count() > 3 else []), key=str)
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 20])
+def test_bitmap_misses_no_key(spark, bits):
+    from quillon.llm.stages import in_bitmap
+
+    keys = spark.range(2000).select(F.col("id"), (F.col("id") * 7).alias("d"))
+    rows = spark.range(6000).select(F.struct("id", (F.col("id") * 7).alias("d")).alias("own"))
+    got = {r.own.id: r.hit for r in in_bitmap(rows, keys, "own", "hit", bits).collect()}
+    assert all(got[i] for i in range(2000)) and sum(got.values()) < 2000 + 400
