@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.work import discard, new_folder, shared_folder, stash
 
-__all__ = ["beside", "discard", "free_name", "new_folder", "shared_folder", "stash", "text_slices"]
+__all__ = ["beside", "discard", "free_name", "new_folder", "shared_folder", "stash", "text_slices", "whole_groups"]
 
 
 def free_name(taken: Iterable[str], name: str) -> str:
@@ -40,7 +41,6 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
 
     A text longer than the limit is a slice of its own.
     """
-    import numpy as np
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -51,3 +51,27 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: tuple[str, ...], chunk: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of batches that are sorted by the columns ``by``, in chunks of about ``chunk`` that hold whole groups."""
+    parts: list[dict[str, np.ndarray]] = []
+    n, enough = 0, chunk
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
+        n += batch.num_rows
+        if n < enough:
+            continue
+        held = {c: np.concatenate([p[c] for p in parts]) for c in names}
+        differs = np.zeros(n, bool)
+        for c in by:
+            differs |= held[c] != held[c][-1]
+        last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if last:
+            yield {c: v[:last] for c, v in held.items()}
+        parts, n = [{c: v[last:].copy() for c, v in held.items()}], n - last
+        enough = max(chunk, 2 * n)
+    if n:
+        yield {c: np.concatenate([p[c] for p in parts]) for c in names}

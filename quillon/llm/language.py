@@ -6,7 +6,7 @@ Viterbi over a document's words, with a penalty for each switch of language, lab
 language of most letters is the document's, and their share its score.
 
 Counts of n-grams are learned on a sample of labelled rows, at most about ``ROWS`` for each language,
-taken by a hash of doc_id. The model is a table of ``BUCKETS`` log-odds a language.
+taken by a hash of doc_id, and for at most ``LANGS`` languages. The model is a table of ``BUCKETS`` log-odds a language.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm._work import stash, text_slices
 
-#: Labelled rows learned from for each language, about.
+#: Labelled rows learned from for each language, about, and languages that are learned at most: those of most rows.
 ROWS = 5_000
+LANGS = 256
+
+#: Code points beyond which none is a letter.
+POINTS = 0x40000
 BUCKETS = 1 << 17
 
 #: Nats that a switch of language costs, what a word outside a language's scripts loses, letters of a script that make it a language's.
@@ -49,9 +53,9 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point below 0x30000: its lower-case form if it is a letter, else 0; and the blocks of scripts."""
-    letter = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    """For each code point below POINTS its lower-case form if it is a letter, else 0; and the blocks of scripts."""
+    letter = np.zeros(POINTS, np.uint32)
+    for c in range(POINTS):
         if unicodedata.category(ch := chr(c))[0] == "L":
             low = ch.lower()
             letter[c] = ord(low) if len(low) == 1 else c
@@ -171,14 +175,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, rows: int = ROWS) -> Model:
-    """Model of the rows of ``docs`` (doc_id, text, lang) that have a lang. A null doc_id is never learned from."""
+    """Model of the rows of ``docs`` (doc_id, text, lang) that have a lang. A null doc_id is never learned from.
+
+    Of more than ``LANGS`` languages those of most rows are learned, so the model stays bounded whatever lang holds.
+    Null and empty texts count as rows, and teach nothing. No labelled row gives a model without languages.
+    """
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.lang: r.n for r in counted.orderBy(F.col("n").desc(), "lang").limit(LANGS).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
-    share = F.element_at(F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, rows / sizes[lang]))]), F.col("lang"))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
+    share = F.try_element_at(F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, rows / sizes[lang]))]), F.col("lang"))
+    sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)), np.int64)

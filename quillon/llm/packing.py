@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences by the sum-of-squares rule.
 
 A group of pieces is packed in one task: pieces go in descending length; each goes to the open bin
-whose residual gap makes the sum over gaps of (open bins with that gap) squared smallest, and a new
-bin opens only if none has room. Groups hold about ``GROUP`` pieces dealt by a hash of their row
+whose residual gap makes the sum over gaps of (open bins with that gap) squared smallest (the smallest
+such gap that is left, if several do), and a new bin opens only if none has room. Groups hold about ``GROUP`` pieces dealt by a hash of their row
 number, so tasks and memory stay the same size however large the input is. Any-fit leaves at most
 one bin a group that is half empty or more; those bins are packed again as units, group over
 group, until a single group is left. Only row numbers and lengths are shuffled for packing; pieces
@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash, text_slices
+from quillon.llm._work import free_name, stash, text_slices
 
 CAPACITY = 2048
 
 #: Pieces that are packed together: about half a second of one core.
 GROUP = 32_768
 
+#: Tasks that groups are dealt to at most.
+TASKS = 20_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -95,7 +98,8 @@ def _pack_units(units: DataFrame, capacity: int, group_rows: int) -> DataFrame:
         first[bins[offsets == 0]] = uid[offsets == 0]
         return pd.DataFrame({"uid": uid, "sequence_id": first[bins], "offset": offsets, "fill": fills})
 
-    dealt = units.withColumn("g", F.pmod(F.xxhash64("uid"), F.lit(groups)))
+    # So many partitions are asked for, else small ones would be put together by bytes, and a task would pack many groups.
+    dealt = units.withColumn("g", F.pmod(F.xxhash64("uid"), F.lit(groups))).repartition(min(groups, TASKS), "g")
     placed = stash(dealt.groupBy("g").applyInPandas(pack, "uid long, sequence_id long, offset long, fill long"), "packed")
     if groups == 1:
         return placed
@@ -112,7 +116,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP) -
     Repeated rows are packed one by one. An empty table gives an empty table.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    uid = "_uid"
+    uid = free_name(names, "uid")
     table = stash(pieces.select(*names).withColumn(uid, F.monotonically_increasing_id()), "pieces")
     length = F.col("length")
     units = table.filter((length > 0) & (length < capacity)).select(F.col(uid).alias("uid"), length.cast("long").alias("length"))

@@ -44,9 +44,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm._work import stash
     from quillon.llm.mixing import mix, word_count
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Written, so that words are counted once.
+    docs = stash(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "counted")
     return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -8,7 +8,8 @@ at each anchor the homes are compared with the visitors on all 64 bits. That fin
 covering code of whole fingerprints would need the threshold 3 on 64 bits: with a radius of 1 about
 ten thousand replicas each, so the threshold is first divided between the halves.)
 
-Only distinct fingerprints are compared; documents of equal fingerprints are joined by grouping.
+Only distinct fingerprints are compared; documents of equal fingerprints are joined by grouping. No pair
+is written where others join its ends at the same anchor.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash, text_slices
+from quillon.llm._work import stash, text_slices, whole_groups
 from quillon.llm.components import components
 
 BITS = 3
+
+#: Fingerprints of an anchor that are all compared with each other's homes at once; each has under so many links there.
+FEW = 32
+
 SEED = 42
 SHINGLE = 3
 
@@ -96,8 +101,48 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return home | last, np.concatenate(rows), np.concatenate(visits)
 
 
+def spanning(prints: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """Of the links between homes and all others at one anchor, those that join what wasn't joined before: under len(prints)."""
+    label = np.arange(len(prints))
+    for h in np.flatnonzero(home):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[h]) <= bits)
+        parts, first = np.unique(label[near], return_index=True)
+        if len(parts) > 1:
+            for part, other in zip(parts.tolist(), near[first].tolist()):
+                if part != label[h]:
+                    yield int(h), other
+            label[np.isin(label, parts)] = parts[0]
+
+
+def _links(rows: dict[str, np.ndarray], bits: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole anchors: small ones are compared side by side, larger ones give spanning links."""
+    key, prints, home = rows["anchor"], rows["fingerprint"].view(np.uint64), rows["home"].astype(bool)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    small = np.repeat(size <= few, size)
+    a, b = [], []
+    for by in range(1, min(few, len(key))):
+        i = np.flatnonzero((key[by:] == key[:-by]) & small[by:] & (home[by:] | home[:-by]))
+        if not len(i):
+            break
+        i = i[np.bitwise_count(prints[i] ^ prints[i + by]) <= bits]
+        a.append(i)
+        b.append(i + by)
+    for k in np.flatnonzero(size > few):
+        own = slice(begin[k], begin[k] + size[k])
+        pairs = np.array([*spanning(prints[own], home[own], bits)], np.int64).reshape(-1, 2) + begin[k]
+        a.append(pairs[:, 0])
+        b.append(pairs[:, 1])
+    none = np.empty(0, np.int64)
+    return prints[np.concatenate([none, *a])].view(np.int64), prints[np.concatenate([none, *b])].view(np.int64)
+
+
 def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that differ in at most ``bits`` (3 at most) bits; a < b."""
+    """Links (a, b) between distinct fingerprints that differ in at most ``bits`` (3 at most) bits; a < b.
+
+    These join whatever all such pairs join, but aren't all of them: an anchor with more than ``FEW`` fingerprints
+    gives only links that span what is joined there.
+    """
     if bits > BITS:
         raise ValueError("the covering code is made for 3 bits at most")
 
@@ -111,11 +156,15 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
                     who = np.concatenate([own, own[rows]]).view(np.int64)
                     yield pa.record_batch([pa.array(key), pa.array(who), pa.array(np.arange(len(key)) < len(home))], names=["anchor", "fingerprint", "home"])
 
+    few = FEW
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ("anchor", "fingerprint", "home"), ("anchor",)):
+            a, b = _links(rows, bits, few)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
     at = prints.select("fingerprint").mapInArrow(replicate, "anchor long, fingerprint long, home boolean")
-    homes = at.filter("home").select("anchor", F.col("fingerprint").alias("a"))
-    visitors = at.filter("not home").select("anchor", F.col("fingerprint").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return homes.join(visitors, "anchor").filter(near).select("a", "b").distinct()
+    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
 
 
 def simhash_groups(docs: DataFrame, bits: int = BITS, digest: Column | None = None) -> DataFrame:

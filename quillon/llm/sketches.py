@@ -96,7 +96,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Documents go in descending doc_id, null ids last, repeated ids in order of their texts; after the
     last comes the first. Ids alone are range-partitioned to find runs of adjacent ids; then every text
     is shuffled once, to its run. A run's first document is also sent, as a ghost, to the end of the run
-    before it. There is one pair of bounds a run, so the bounds stay small at any size.
+    before it. There is one pair of bounds a run, so the bounds stay small at any size. All rows without doc_id are
+one run, as are all rows of one doc_id.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull())
@@ -105,9 +106,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = sorted((r.low, r.high) for r in dealt.toLocalIterator())
     lows, highs = np.array([b[0] for b in bounds], np.int64), np.array([b[1] for b in bounds], np.int64)
     runs = max(1, len(bounds))
+    limits = spark.sparkContext.broadcast((lows, highs))  # two numbers a run
 
     @F.pandas_udf("array<int>")
     def places(doc_id: pd.Series) -> pd.Series:
+        lows, highs = limits.value
         known = doc_id.notna().to_numpy()
         key = doc_id.fillna(0).astype("int64").to_numpy()
         if not len(lows):

@@ -98,6 +98,38 @@ def test_packing(spark, groups):
     assert {r.length: (r.offset, r.sequence_id is None) for r in odd} == {0: (None, True), None: (None, True), 3000: (None, True), 2: (0, False)}
 
 
+def plain_sum_of_squares(lengths, capacity):
+    """Gaps of bins, one by one: the rule with all sums written out."""
+    gaps, of = [], []
+    for size in sorted(lengths, reverse=True):
+        best = None
+        for gap in sorted({g for g in gaps if g >= size}):
+            after = list(gaps)
+            after.remove(gap)
+            after.append(gap - size)
+            cost = sum(after.count(g) ** 2 for g in set(after) if g)
+            if best is None or cost < best[0]:
+                best = cost, gap
+        gap = best[1] if best else capacity
+        if best:
+            gaps.remove(gap)
+        gaps.append(gap - size)
+        of.append(gap - size)
+    return sorted(gaps), of
+
+
+def test_place_is_the_plain_sum_of_squares():
+    from quillon.llm.packing import place
+
+    rng = random.Random(16)
+    for _ in range(120):
+        capacity = rng.choice([8, 20, 64])
+        lengths = np.array([rng.randint(1, capacity) for _ in range(rng.randint(1, 60))])
+        bins, offsets, fills = place(lengths, capacity)
+        assert check_packing([type("R", (), {"sequence_id": b, "offset": o, "length": n}) for b, o, n in zip(bins, offsets, lengths)], capacity) == bins.max() + 1
+        assert sorted(capacity - fills[offsets == 0]) == plain_sum_of_squares(lengths.tolist(), capacity)[0]
+
+
 def test_pieces_are_whole(docs, none):
     from quillon.llm.packing import token_pieces
 
@@ -210,6 +242,38 @@ def test_vectors(spark, monkeypatch, limits):
     assert [tuple(r) for r in vectors.near_vectors(spark.createDataFrame([(None, [1.0], 1)], "vec_id long, embedding array<float>, label int")).collect()] == [(None, 0, None, False)]
 
 
+def test_vectors_of_many_dimensions_and_doubles(spark, monkeypatch):
+    from quillon.llm import vectors
+
+    monkeypatch.setattr(vectors, "DIMS", 2)
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in (3, 4, 5, 6, 7):
+        base = rng.normal(size=(10, dim))
+        rows += [(len(rows) + k, (base[k % 10] + rng.normal(size=dim) * 0.2).tolist(), k % 2) for k in range(40 * dim)]
+    a, b = np.array([1.0, 0.0]), np.array([0.93, np.sqrt(1 - 0.93**2)])
+    rows += [(9000, a.tolist(), 5), (9001, (b + [2e-9, 0]).tolist(), 5), (9002, (b - [2e-9, 0]).tolist(), 6), (9003, a.tolist(), 6), (9004, [1e300, 1e300], 7), (9005, [1e-300, 1e-300], 7)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    unit = {i: np.array(x) / max(map(abs, x)) for i, x, _ in rows}
+    unit = {i: x / np.sqrt(x @ x) for i, x in unit.items()}
+    n_links = {i: sum(i != j and label == other and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93 for j, _, other in rows) for i, _, label in rows}
+    assert {g[0]: g[1] for g in got} == n_links and [n_links[i] for i in range(9000, 9006)] == [1, 1, 0, 0, 1, 1]
+
+
+def test_recall_of_the_forest_on_a_large_label(spark):
+    """One label of 12,000 vectors in 32 dimensions, so that every tree splits several times: links found of all."""
+    from quillon.llm import vectors
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4000, 32))
+    x = np.repeat(base, 3, axis=0) + rng.normal(size=(12_000, 32)) * 0.2
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = sum(int((unit[k : k + 2000] @ unit.T >= 0.93).sum()) for k in range(0, 12_000, 2000)) - 12_000
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    found = vectors.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * want <= found <= want and want > 20_000
+
+
 def test_components(spark):
     from quillon.llm.components import components
 
@@ -225,6 +289,11 @@ def test_components(spark):
     for a, b in edges:
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
+    hub = [(1000, 2000 + i) for i in range(1500)] + [(2000 + i, 5000 + i % 3) for i in range(0, 1500, 7)]  # more than HUB_EDGES
+    edges += hub
+    for a, b in hub:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
     got = {r.id: r.component for r in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
 
@@ -256,6 +325,42 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in identify(test, learn(none)).collect()} == {"und"}
 
 
+def test_word_scores_by_the_plain_rule():
+    from quillon.llm.language import BUCKETS, OUTSIDE, SCRIPT_NAMES, Model, grams, letters_of, script_of, words_of
+
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 5, (BUCKETS, 3)).astype(float)
+    scripts = np.zeros((len(SCRIPT_NAMES), 3))
+    scripts[SCRIPT_NAMES.index("Latin"), :2] = 100
+    scripts[SCRIPT_NAMES.index("Cyrillic"), 2] = 100
+    model = Model(["a", "b", "c"], counts, scripts)
+    c, _ = letters_of(["Der kleine Hund", "привет, мир x", "ÀÉ \U00030000"])
+    starts, stops = words_of(c)
+    rate = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
+    for block in (1, 1 << 18):
+        got = model.word_scores(c, starts, stops, block)
+        for k, (a, b) in enumerate(zip(starts, stops)):
+            want = np.zeros(3)
+            for at in range(a, b):
+                for g in grams(c.astype(np.uint64), np.array([at])):
+                    want += 0.5 * (rate[g[0]] - rate[g[0]].mean())
+            script = SCRIPT_NAMES[script_of(c[[a]])[0]]
+            want -= {"Latin": np.array([0, 0, OUTSIDE]), "Cyrillic": np.array([OUTSIDE, OUTSIDE, 0])}.get(script, np.zeros(3))
+            assert np.allclose(got[k], want, atol=1e-3)
+    assert len(starts) == 8
+
+
+def test_languages_are_bounded_and_letters_of_all_planes_count(spark, monkeypatch):
+    from quillon.llm import language
+
+    monkeypatch.setattr(language, "LANGS", 2)
+    rows = [(i, "der kleine Hund", "de") for i in range(6)] + [(10 + i, "the small dog", "en") for i in range(5)] + [(20, "le chien", "fr"), (21, None, "xx")]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
+    out = language.identify(spark.createDataFrame([(1, "\U00030000\U00030001"), (2, "1 2")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in out} == {1: False, 2: True}
+
+
 def test_viterbi_is_best():
     from quillon.llm.language import viterbi
 
@@ -410,8 +515,8 @@ def test_simhash(spark, docs, none):
     assert simhash_groups(docs).count() == docs.count() and simhash_groups(none).count() == 0
 
 
-def test_every_pair_within_three_bits_meets(spark):
-    from quillon.llm.simhash import linked
+def test_every_pair_within_three_bits_meets(spark, monkeypatch):
+    from quillon.llm import simhash
 
     rng = random.Random(7)
     prints = set()
@@ -420,7 +525,38 @@ def test_every_pair_within_three_bits_meets(spark):
         prints |= {x} | {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(12)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    assert {(r.a, r.b) for r in linked(spark.createDataFrame([(p,) for p in signed], "fingerprint long")).collect()} == want
+    table = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    monkeypatch.setattr(simhash, "FEW", 1 << 30)
+    assert {(r.a, r.b) for r in simhash.linked(table).collect()} == want
+    for few in (32, 4, 1):  # fewer links, but the same parts
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = {(r.a, r.b) for r in simhash.linked(table).collect()}
+        assert got <= want and parts_of(got) == parts_of(want)
+
+
+def parts_of(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    parts = {}
+    for x in list(parent):
+        parts.setdefault(find(x), set()).add(x)
+    return {frozenset(p) for p in parts.values()}
+
+
+def test_a_dense_ball_gives_few_links():
+    from quillon.llm.simhash import spanning
+
+    rng = np.random.default_rng(8)
+    center = np.uint64(0x123456789ABCDEF0)
+    prints = np.unique([center ^ sum((np.uint64(1) << np.uint64(b)) for b in rng.choice(64, 1)) for _ in range(400)])
+    assert len([*spanning(prints, np.ones(len(prints), bool), 3)]) == len(prints) - 1
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------
@@ -440,6 +576,38 @@ def test_sketches():
     assert (alone == sketches([b"q", b"x y z", b""])[1]).all()
 
 
+def plain_shingles(text):
+    from quillon.llm.words import flat, shingle_hashes, word_hashes
+
+    words = re.findall(b"[^\x20\x09-\x0d]+", text)
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words] if words else []
+    return {int(shingle_hashes(*word_hashes(*flat([b" ".join(r)])), 5)[0][0]) for r in runs}
+
+
+def test_sketches_are_the_hashes_below_the_threshold():
+    from quillon.llm.sketches import SCALE, sketches
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choices(["a", "B", "cé", "日本", " ", "\n", "\t ", "x1"], k=rng.randint(0, 120))).encode() for _ in range(200)] + [b"w " * 300, b"One two\x0bthree"]
+    for text, own in zip(texts, sketches(texts)):
+        all_ = plain_shingles(text)
+        below = {h for h in all_ if h < (1 << 64) // SCALE}
+        assert own.tolist() == sorted(below or ({min(all_)} if all_ else set()))
+
+
+def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
+    from quillon.llm import words
+
+    rng = random.Random(18)
+    texts = ["".join(rng.choices(["a", "B", "\n", " ", "xyz", "é", "  "], k=rng.randint(0, 60))).encode() for _ in range(40)]
+    whole, before = words.word_hashes(*words.flat(texts))
+    assert np.diff(before).tolist() == [len(t.split()) for t in texts]
+    for block in (1, 7, 40):
+        monkeypatch.setattr(words, "BLOCK", block)
+        again, at = words.word_hashes(*words.flat(texts))
+        assert (again == whole).all() and (at == before).all()
+
+
 def test_edited_texts(spark, docs, none):
     from quillon.llm.sketches import compare_with_edited, fingerprints
 
