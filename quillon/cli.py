@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from quillon.fixed import PROFILES
 from quillon.operators.decide import OLD_RESULT, RESULT
-from quillon.operators.reports import action_counts, write_csv, write_reports
+from quillon.operators.reports import terminal_summary, write_csv, write_reports
 from quillon.plans.profile import profile_tables
 from quillon.sources.tables import policy_overlay, read_csv, read_table
 from quillon.work import stash
@@ -50,8 +50,7 @@ def main(argv: Sequence[str] | None = None) -> dict[str, str]:
         paths = {"report": write_csv(results.select(*OLD_RESULT), f"{args.output_dir}/report", True)}
     else:
         paths = write_reports(results.select(*RESULT), table, args.output_dir, args.mask_password)
-    for row in action_counts(results).collect():
-        print(f"{row.Policy_Action}: {row.n_columns} columns")
+    print(terminal_summary(results))
     for name, path in paths.items():
         print(f"{name}: {path}")
     return paths

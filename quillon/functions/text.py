@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.fixed import LONG_SIDE, LONG_VALUE, NULL_LIKE
@@ -15,6 +12,7 @@ from quillon.fixed import LONG_SIDE, LONG_VALUE, NULL_LIKE
 # What counts as white space, and hyphens that become a plain one.
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 _DASHES = "‐‑‒–—"
+_PLAIN = dict.fromkeys(map(ord, _DASHES), "-")
 
 
 def constants(values: list) -> Column:
@@ -29,7 +27,7 @@ def constants(values: list) -> Column:
 
 
 def tidy(value: Column) -> Column:
-    """Normalised text, but for compatibility forms (NFKC), which only texts beyond ASCII need."""
+    """Normalised text as a Column, but for compatibility forms (NFKC), which only texts beyond ASCII need."""
     plain = F.translate(value, " " + _DASHES, " " + "-" * len(_DASHES))
     return F.trim(F.regexp_replace(plain, _BLANKS, " "))
 
@@ -38,18 +36,11 @@ def beyond_ascii(value: Column) -> Column:
     return value.rlike(r"[^\x00-\x7F]")
 
 
-def normalized(df: DataFrame, column: str = "value") -> DataFrame:
-    """``df`` with ``column`` normalised. Only rows beyond ASCII go through Python; call it on distinct values."""
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[column] = [unicodedata.normalize("NFKC", v) for v in pdf[column]]
-            yield pdf
-
-    text = F.col(column)
-    plain = df.filter(~beyond_ascii(text))
-    other = df.filter(beyond_ascii(text)).mapInPandas(compose, df.schema)
-    return plain.unionByName(other).withColumn(column, tidy(text))
+def normalize_value(value: str) -> str:
+    """``value`` in compatibility form (NFKC), with plain hyphens and single blanks."""
+    if not value.isascii():
+        value = unicodedata.normalize("NFKC", value).translate(_PLAIN)
+    return " ".join(value.split())  # split() knows the same white space as _BLANKS
 
 
 def is_null_like(value: Column) -> Column:

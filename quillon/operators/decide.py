@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.fixed import PARENT, Profile
@@ -108,16 +108,26 @@ def decisions(scored: DataFrame, text: DataFrame) -> DataFrame:
         r4(p["g_effective"]).alias("GLiNER_Effective_Evidence"), r4(p["g_value"]).alias("GLiNER_Value_Confirmation"), r4(p["g_context"]).alias("GLiNER_Context_Confirmation"),
         r4(p["g_success"]).alias("GLiNER_Inference_Success_Rate"), r4(p["validator"]).alias("Validator_Pass_Rate"), p["kind"].alias("Validator_Type"),
         r4(p["score"]).alias("Confidence_Score"), F.lit(False).alias("Confidence_Is_Calibrated"), r4(p["score"]).alias("Evidence_Score"), r4(p["score"] - p["threshold"]).alias("Decision_Margin"),
-        runner["entity"].alias("Runner_Up_Entity"), r4(runner["score"]).alias("Runner_Up_Score"), r4(F.coalesce(F.greatest(F.lit(0.0), p["score"] - runner["score"]), F.lit(1.0))).alias("Runner_Up_Margin"),
+        runner["entity"].alias("Runner_Up_Entity"), r4(runner["score"]).alias("Runner_Up_Score"), r4(F.when(runner.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), p["score"] - runner["score"]))).alias("Runner_Up_Margin"),
         F.when(is_pii, reason_accepted).when(is_found, reason_found).otherwise(reason_rejected).alias("Decision_Reason"),
     )
 
 
-def results(columns: DataFrame, decided: DataFrame, coverage: DataFrame, profile: Profile) -> DataFrame:
+#: Stages of a profile whose times are reported, in order of the columns for them.
+STAGES = ("ner", "regex", "zero_shot", "aggregation")
+
+
+def results(columns: DataFrame, decided: DataFrame, coverage: DataFrame, profile: Profile, seconds: dict[str, float] | None = None) -> DataFrame:
     """RESULT for every column. ``columns``: (column_name, place, distinct_values); those without a decision are clean.
 
-    Numbers of clean columns are zero, texts are null, and the reason tells values from evidence.
+    Numbers of clean columns are zero, texts are null, and the reason tells values from evidence. ``seconds`` of
+    STAGES, which run for all columns at once, are shared among the columns by their distinct values; a stage
+    that isn't in it has null.
     """
+    seconds = seconds or {}
+    share = F.coalesce(F.try_divide(F.coalesce("distinct_values", F.lit(0)), F.sum("distinct_values").over(Window.partitionBy())), F.lit(0.0))
+    times = [F.round(share * seconds[s], 3) if s in seconds else F.lit(None).cast("double") for s in STAGES]
+    total = F.round(share * sum(seconds.values()), 3) if seconds else F.lit(None).cast("double")
     nulls = {"Final_Entity_Type", "Adjudicated_Entity", "Primary_Entity", "Stage1_Detected_Entity", "Stage1_Primary_Candidate", "Stage1_Candidate_Entities", "Detected_Entity_Set", "Validator_Pass_Rate", "Runner_Up_Entity", "Runner_Up_Score"}
     df = columns.join(decided.withColumnRenamed("Column_Name", "c"), F.col("column_name") == F.col("c"), "left").join(coverage, "column_name", "left")
     clean = {"Policy_Action": "NONE", "Validator_Type": "NONE"}
@@ -135,6 +145,6 @@ def results(columns: DataFrame, decided: DataFrame, coverage: DataFrame, profile
     more = [
         F.lit(profile.schema_version).alias("Output_Schema_Version"), F.lit(profile.detector_version).alias("Detector_Version"), F.col("column_name").alias("Column_Name"),
         F.round(F.coalesce("coverage", F.lit(0.0)), 4).alias("Sampling_Entity_Coverage"), F.coalesce("covered", F.lit(0)).cast("int").alias("Sampling_Entities_Covered"),
-        F.coalesce("credible", F.lit(0)).cast("int").alias("Sampling_Entities_Total"), *[F.lit(0.0).alias(c) for c in RESULT[-5:]],
+        F.coalesce("credible", F.lit(0)).cast("int").alias("Sampling_Entities_Total"), *[t.alias(c) for t, c in zip([*times, total], RESULT[-5:])],
     ]
     return df.select("place", *more, *out).select("place", *RESULT)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quillon.fixed import V16
 from quillon.operators.masking import mask_table
 
-# Labels of actions, what stands for no entity, widths of the box and of bars.
+# Labels of actions, and what stands for no entity.
 LABELS = {"PROTECT": "🔴 PII DETECTED", "DETECTED_EXCLUDED": "🟡 DETECTED (excluded by policy)", "NONE": "🟢 SAFE"}
 SHORT_LABELS = {"PROTECT": "PII", "DETECTED_EXCLUDED": "EXCLUDED", "NONE": "SAFE"}
 NOTHING = "—"
-BOX, WIDE_BAR, NARROW_BAR = 62, 20, 12
-STAGES = (("🔍 Presidio NLP scan   ", "   🔍 Presidio  ", "Time_Presidio_sec"), ("🔎 Regex pattern scan  ", "   🔎 Regex     ", "Time_Regex_sec"), ("🤖 GLiNER AI inference ", "   🤖 GLiNER   ", "Time_GLiNER_sec"), ("⚙  Aggregation logic   ", "   ⚙  Aggregate", "Time_Aggregation_sec"))
+
+#: Stages of a profile as they are named in the report of times, and their columns.
+STAGES = (("named entities", "Time_Presidio_sec"), ("patterns", "Time_Regex_sec"), ("zero-shot", "Time_GLiNER_sec"), ("aggregation", "Time_Aggregation_sec"))
 
 
 def _label(labels: dict[str, str]) -> Column:
@@ -37,31 +38,36 @@ def action_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("Policy_Action").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("Time_Total_sec").alias("seconds"))
 
 
-def bar(value: float, largest: float, width: int = WIDE_BAR) -> str:
-    filled = min(width, round(value / largest * width)) if largest else 0
-    return "█" * filled + "░" * (width - filled)
+def stage_totals(results: DataFrame) -> dict[str, float | None]:
+    """Seconds of each stage over all columns, and of all together; None for a stage that didn't run."""
+    sums = results.agg(*[F.sum(c).alias(name) for name, c in STAGES], F.sum("Time_Total_sec").alias("total")).first()
+    return sums.asDict()
+
+
+def bar(value: float | None, largest: float, width: int = 24) -> str:
+    return "#" * round(width * (value or 0.0) / largest) if largest else ""
 
 
 def timing_report(results: DataFrame) -> str:
-    """The times of a profile as boxed text. A profile has a row for each column, so it is small."""
-    rows = [r.asDict() for r in results.collect()]
-    times = [[float(r[c] or 0.0) for _, _, c in STAGES] for r in rows]
-    totals = [sum(t[i] for t in times) for i in range(len(STAGES))]
-    count = lambda action: sum(r["Policy_Action"] == action for r in rows)
-    line = lambda text="": f"║ {text:<{BOX}} ║"
-    rule, most = "╠" + "═" * (BOX + 2) + "╣", max([*totals, 0.001])
-    out = ["╔" + "═" * (BOX + 2) + "╗", line("  ENTERPRISE PII DETECTOR — ENGINE RUNTIME REPORT"), line(f"  Detector v{V16.detector_version}   Schema v{V16.schema_version}"), rule]
-    out += [line("  SUMMARY"), line(f"  Total columns scanned : {len(rows)}"), line(f"  🔴 PII detected       : {count('PROTECT')}"), line(f"  🟡 Detected/excluded  : {count('DETECTED_EXCLUDED')}"), line(f"  🟢 Safe               : {count('NONE')}")]
-    out += [rule, line("  TOTAL ENGINE RUNTIMES")]
-    out += [line(f"  {label}  {t:6.2f}s  {bar(t, most)}") for (label, _, _), t in zip(STAGES, totals)]
-    out += [line(f"  {'─' * 54}"), line(f"  ✅ Grand Total          {sum(totals):6.2f}s"), rule, line("  PER-COLUMN BREAKDOWN"), line()]
-    longest = max([sum(t) for t in times], default=0.001)
-    for r, t in zip(rows, times):
-        entity = r["Final_Entity_Type"] or r["Primary_Entity"] or NOTHING
-        out.append(line(f"  {LABELS[r['Policy_Action']][0]}  {r['Column_Name'][:30]:<30}  {entity[:18]:<18}"))
-        out += [line(f"{label}  {x:5.2f}s  {bar(x, max([*t, 0.001]), NARROW_BAR)}") for (_, label, _), x in zip(STAGES, t)]
-        out += [line(f"   {'─' * 54}"), line(f"   Total  {sum(t):5.2f}s   {bar(sum(t), longest)}"), line()]
-    return "\n".join([*out, "╚" + "═" * (BOX + 2) + "╝"])
+    """Times of a profile as text: stages over all columns first, then a line a column. A profile has a row for each column, so it is small."""
+    totals = stage_totals(results)
+    rows = results.select("Column_Name", "Policy_Action", F.coalesce("Final_Entity_Type", "Primary_Entity", F.lit(NOTHING)).alias("entity"), *[c for _, c in STAGES], "Time_Total_sec").collect()
+    said = lambda x: f"{x:9.3f}" if x is not None else f"{'not run':>9}"
+    out = [f"Column profile, detector {V16.detector_version}, schema {V16.schema_version}", "", f"{len(rows)} columns"]
+    out += [f"  {label}: {sum(r.Policy_Action == action for r in rows)}" for action, label in LABELS.items()]
+    most = max((x for x in totals.values() if x is not None), default=0.0)
+    out += ["", "Seconds by stage"] + [f"  {name:<16}{said(x)}  {bar(x, most)}".rstrip() for name, x in totals.items()]
+    out += ["", "Seconds by column"]
+    for r in rows:
+        out.append(f"  {r.Column_Name}  [{SHORT_LABELS[r.Policy_Action]}, {r.entity}]  " + ", ".join(f"{name} {said(r[c]).strip()}" for name, c in (*STAGES, ("total", "Time_Total_sec"))))
+    return "\n".join(out)
+
+
+def terminal_summary(results: DataFrame) -> str:
+    """Columns by action and seconds by stage, as shown at the end of a run."""
+    counts = {r.Policy_Action: r.n_columns for r in action_counts(results).collect()}
+    lines = [f"{label}: {counts.get(action, 0)} columns" for action, label in LABELS.items()]
+    return "\n".join(lines + [f"{name}: {x:.2f} s" if x is not None else f"{name}: not run" for name, x in stage_totals(results).items()])
 
 
 def protected_columns(results: DataFrame) -> list[str]:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.fixed import GRADE_WEIGHT, LONG_VALUE, NER_RELIABILITY_ELSE, V16, Pattern, Profile
-from quillon.functions.text import constants, truncated
+from quillon.functions.text import beyond_ascii, constants, truncated
 from quillon.functions.validators import validator, verdict
 from quillon.work import stash
 
@@ -24,9 +25,41 @@ ENTITY = (
 # of the grade's weight in hundredths; exact: a strict or moderate pattern matched; passed, failed: some verdict was so (null: none).
 
 
-def matches(value: Column, pattern: Pattern) -> Column:
-    """All non-overlapping matches, with word edges and classes as for Unicode."""
-    return F.regexp_extract_all(value, F.lit(f"(?U){pattern.regex}"), F.lit(0))
+#: What a text must hold for a pattern to match: any of some strings, or a field of ``_flags`` (digits in a row, for most).
+#: A cheap test, which spares most texts most patterns.
+_NEEDS: dict[str, tuple[str, ...] | str] = {
+    "email": ("@",), "ipv4": "dotted", "ipv6_full": (":",), "ifsc": ("0",), "mac_colon": (":",), "mac_hyphen": ("-",), "btc_legacy": ("1", "3"), "eth": ("0x",),
+    "dob_iso": "two", "dob_dmy": "two", "employee_id": ("EMP", "STAFF"), "customer_id": ("CUST", "CLIENT"), "user_id": ("USR", "USER"),
+    "contract_number": ("CTR", "CONTRACT", "AGR"), "device_serial": ("SN", "SERIAL", "DEV"),
+}
+
+
+def _flags(value: Column) -> Column:
+    return F.struct(
+        (~beyond_ascii(value)).alias("ascii"),
+        value.rlike(r"\p{Nd}{2}").alias("two"),
+        value.rlike(r"\p{Nd}{3}").alias("three"),
+        value.rlike(r"\p{Nd}\.\p{Nd}").alias("dotted"),
+    )
+
+
+def with_flags(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(flags)`` with the flags of the value bound to a variable, so that they are found once."""
+    return F.get(F.transform(F.array(_flags(value)), make), F.lit(0))
+
+
+def matches(value: Column, pattern: Pattern, flags: Column) -> Column:
+    """All non-overlapping matches, with word edges and classes as for Unicode, which differ beyond ASCII only."""
+    needs = _NEEDS.get(pattern.name, "three")
+    may = flags[needs] if isinstance(needs, str) else reduce(or_, [F.contains(value, F.lit(n)) for n in needs])
+    found = lambda regex: F.regexp_extract_all(value, F.lit(regex), F.lit(0))
+    return F.when(~may, F.array().cast("array<string>")).when(flags["ascii"], found(pattern.regex)).otherwise(found(f"(?U){pattern.regex}"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores: patterns cost far more for each byte than a shuffle, and small files have few parts."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
 
 
 def match_rows(df: DataFrame, column: str = "value", as_of: date | None = None, profile: Profile = V16, patterns: tuple[str, ...] | None = None) -> DataFrame:
@@ -38,13 +71,14 @@ def match_rows(df: DataFrame, column: str = "value", as_of: date | None = None,
         return F.struct(F.lit(p.entity).alias("entity"), F.lit(p.name).alias("pattern"), F.lit(p.score).alias("score"), span.alias("span"), passed.alias("validator_pass"))
 
     chosen = [p for p in profile.patterns if patterns is None or p.name in patterns]
-    parts = [F.transform(matches(F.col(column), p), partial(as_struct, p)) for p in chosen]
-    return df.select("*", F.inline(F.flatten(F.array(*parts))))
+    value = F.col(column)
+    parts = lambda flags: F.flatten(F.array(*[F.transform(matches(value, p, flags), partial(as_struct, p)) for p in chosen]))
+    return df.select("*", F.inline(with_flags(value, parts)))
 
 
-def match_spans(df: DataFrame, column: str = "value", profile: Profile = V16) -> DataFrame:
-    """``df`` with a row for each match and its place (start, end in code points), for those who need places."""
-    compiled = [(p.entity, p.name, p.score, re.compile(p.regex)) for p in profile.patterns]
+def match_spans(df: DataFrame, column: str = "value", profile: Profile = V16, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """``df`` with a row for each match of the patterns (all by default) and its place (start, end in code points), for those who need places."""
+    compiled = [(p.entity, p.name, p.score, re.compile(p.regex)) for p in profile.patterns if patterns is None or p.name in patterns]
     names = df.columns
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,14 +100,15 @@ def _lookup(values: list, key: Column) -> Column:
     return F.get(constants(values), key)
 
 
-def _hits(value: Column, place: int, p: Pattern, as_of: date | None, profile: Profile) -> Column:
+def _hits(value: Column, place: int, p: Pattern, flags: Column, as_of: date | None, profile: Profile) -> Column:
     """Array of one struct: the pattern's place, its number of matches, and whether any verdict is true, any false.
 
     Matches become their verdicts, and these are bound to a variable, so that the pattern stands in the
     plan, and runs, once.
     """
     known = p.entity in profile.validators
-    verdicts = F.transform(matches(value, p), lambda m: validator(p.entity, m, as_of, profile)) if known else matches(value, p)
+    spans = matches(value, p, flags)
+    verdicts = F.transform(spans, lambda m: validator(p.entity, m, as_of, profile)) if known else spans
 
     def counted(found: Column) -> Column:
         none = F.lit(None).cast("boolean")
@@ -86,7 +121,8 @@ def _hits(value: Column, place: int, p: Pattern, as_of: date | None, profile: Pr
 def regex_entities(value: Column, as_of: date | None, profile: Profile) -> Column:
     """Array of ENTITY, one for each entity with a match in the value; no row is made for a match."""
     table = profile.patterns
-    hits = F.filter(F.flatten(F.array(*[_hits(value, i, p, as_of, profile) for i, p in enumerate(table)])), lambda h: h["n"] > 0)
+    all_ = lambda flags: F.flatten(F.array(*[_hits(value, i, p, flags, as_of, profile) for i, p in enumerate(table)]))
+    hits = F.filter(with_flags(value, all_), lambda h: h["n"] > 0)
     entity = partial(_lookup, [p.entity for p in table])
     reliability = partial(_lookup, [round(p.reliability * 100) for p in table])
     strength = partial(_lookup, [p.score * p.reliability for p in table])

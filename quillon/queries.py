@@ -14,7 +14,7 @@ from quillon.operators import masking, reports
 from quillon.operators.cells import column_sizes, dictionary
 from quillon.operators.metrics import candidate_text, entity_metrics
 from quillon.operators.sampling import stratified_sample
-from quillon.operators.scan import evidence_of, match_rows, match_spans, priority, regex_evidence, scan_table
+from quillon.operators.scan import evidence_of, match_rows, match_spans, priority, regex_evidence, scan_table, spread
 from quillon.plans.profile import profile_table, profile_tables
 from quillon.work import stash
 
@@ -162,20 +162,20 @@ def _text_counts_sql(source: str, key: str, column: str) -> str:
 
 @query(_text_counts_sql("documents", "doc_id", "text"))
 def pattern_matches_documents(spark, sf_dir):
-    by_value = match_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").groupBy("doc_id", "pattern", "entity").agg(F.count(F.lit(1)).alias("n"))
+    by_value = match_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").groupBy("doc_id", "pattern", "entity").agg(F.count(F.lit(1)).alias("n"))
     return by_value.groupBy("pattern", "entity").agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_values"))
 
 
 @query(_text_counts_sql("pages", "page_id", "html"))
 def pattern_matches_pages(spark, sf_dir):
-    by_value = match_rows(table(spark, sf_dir, "pages").select("page_id", "html"), "html").groupBy("page_id", "pattern", "entity").agg(F.count(F.lit(1)).alias("n"))
+    by_value = match_rows(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html").groupBy("page_id", "pattern", "entity").agg(F.count(F.lit(1)).alias("n"))
     return by_value.groupBy("pattern", "entity").agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_values"))
 
 
 @query(f"""with g as ({_GENERATED_SQL}), s as (select c_custkey, template, value, unnest({_found_sql("email", "value")}) as span from g)
     select c_custkey, template, span, instr(value, span) - 1 as start, instr(value, span) - 1 + length(span) as "end" from s""")
 def match_places_email(spark, sf_dir):
-    return match_spans(generated(spark, sf_dir)).filter(F.col("pattern") == "email").select("c_custkey", "template", "span", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return match_spans(generated(spark, sf_dir), patterns=("email",)).select("c_custkey", "template", "span", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 # --- Validators ------------------------------------------------------------------------------------------------------

@@ -13,10 +13,14 @@ _LOCAL: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """URI of the shared folder: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder of our own is used.
+    Only where that is unset, as in tests on one machine, a temporary folder of our own is used; on a cluster,
+    whose machines don't share one, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share, for the master is {master}")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
         base = _LOCAL[0]

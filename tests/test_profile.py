@@ -49,7 +49,17 @@ def test_scores_by_hand(found):
 
 def test_invariance(people, found):
     again = profile_tables(people.unionByName(people).repartition(7), as_of=AS_OF).results.select(*RESULT).collect()
-    assert {r.Column_Name: r for r in again} == found
+    timeless = lambda r: {k: v for k, v in r.asDict().items() if not k.startswith("Time_")}
+    assert {r.Column_Name: timeless(r) for r in again} == {c: timeless(r) for c, r in found.items()}
+
+
+def test_margins_and_times(found):
+    assert found["emial"].Runner_Up_Entity is None and found["emial"].Runner_Up_Margin == 1.0
+    assert all(r.Time_Presidio_sec is None and r.Time_GLiNER_sec is None for r in found.values())
+    rows = list(found.values())
+    total = sum(r.Time_Total_sec for r in rows)
+    assert total > 0 and found["nothing"].Time_Total_sec == 0.0
+    assert total == pytest.approx(sum(r.Time_Regex_sec + r.Time_Aggregation_sec for r in rows), abs=0.02)
 
 
 def test_policy(people):
@@ -116,6 +126,12 @@ def test_dictionary(spark):
     assert {(r.column_name, r.value, r.rows) for r in dictionary(df).collect()} == {("p", "a", 2), ("q", "x", 2)}
 
 
+def test_dictionary_reads_once_and_shuffles_once(spark, tmp_path):
+    spark.createDataFrame([("a", "é"), ("b ", "c")], "p string, q string").write.parquet(str(tmp_path / "t"))
+    plan = dictionary(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_reports(spark, people, tmp_path):
     results = profile_table(people, ["emial", "sku"], as_of=AS_OF).cache()
     paths = reports.write_reports(results, people.select("emial", "sku"), str(tmp_path), "pw")
@@ -124,7 +140,9 @@ def test_reports(spark, people, tmp_path):
     summary = {r.Column_Name: r for r in reports.summary(results).collect()}
     assert summary["emial"].PII_Status == "🔴 PII DETECTED" and summary["sku"].Entity_Type == "—"
     assert {r.Policy_Action: r.n_columns for r in reports.action_counts(results).collect()} == {"PROTECT": 1, "NONE": 1}
-    assert "Total columns scanned : 2" in reports.timing_report(results) and reports.bar(1, 8, 20) == "█" * 2 + "░" * 18 and reports.bar(1, 0) == "░" * 20
+    said = reports.timing_report(results)
+    assert "2 columns" in said and "named entities    not run" in said and "emial  [PII, Email Address]" in said and reports.bar(1, 8, 24) == "###" and reports.bar(1, 0) == ""
+    assert "PII DETECTED: 1 columns" in reports.terminal_summary(results) and "zero-shot: not run" in reports.terminal_summary(results)
 
 
 def test_stream(spark, tmp_path):
