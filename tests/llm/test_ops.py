@@ -165,11 +165,11 @@ def test_token_files_leave_other_files_alone(spark, docs, tmp_path):
     (folder / "sub").mkdir(parents=True)
     (folder / "mine.bin").write_bytes(b"x")
     first = write_token_files(docs, path, 2, folder.as_uri())
-    before = sorted(map(tuple, read_token_files(spark, first).collect()))
+    before = sorted(map(tuple, read_token_files(spark, first).collect()), key=str)
     (folder / f"{first.first().name.split('-')[0]}-000000-lost.bin").write_bytes(b"of a lost attempt")
     write_token_files(docs.limit(3), path, 2, folder.as_uri())
     assert (folder / "mine.bin").read_bytes() == b"x" and (folder / "sub").is_dir()
-    assert sorted(map(tuple, read_token_files(spark, first).collect())) == before
+    assert sorted(map(tuple, read_token_files(spark, first).collect()), key=str) == before
 
 
 def test_token_files_of_many_small_shards(spark, monkeypatch):
