@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.fixed import NER_LABELS, V16, ZERO_SHOT_PROMPTS
 from quillon.functions.names import name_facts
+from quillon.functions.text import normalize_value
 from quillon.operators.zero_shot import context_prefix, predictions
 
 _MODELS: dict[str, object] = {}
@@ -65,7 +66,7 @@ def zero_shot_provider(name: str, load: Callable[[], Callable[[str, tuple[str, .
                         try:
                             found = predict(before + value, ZERO_SHOT_PROMPTS, threshold)
                             rows.append((column, value, view, None, None, None, None, len(before), None, True))
-                            rows += [(column, value, view, str(e["label"]), str(e.get("text", "")), e.get("start"), e.get("end"), len(before), float(e["score"]), True) for e in found]
+                            rows += [(column, value, view, normalize_value(str(e["label"])), normalize_value(str(e.get("text", ""))), e.get("start"), e.get("end"), len(before), float(e["score"]), True) for e in found]
                         except Exception:  # noqa: BLE001
                             rows.append((column, value, view, None, None, None, None, len(before), None, False))
                 yield pd.DataFrame(rows, columns=fields)

@@ -18,9 +18,10 @@ def context_prefix(column: str, meaning: str) -> str:
 
 
 def canonical(label: Column) -> Column:
-    """Entity of a model's label; another label is written with capitals."""
+    """Entity of a model's label (in compatibility form); of another label each run of letters gets a capital."""
     known = F.create_map(*[F.lit(x) for pair in ZERO_SHOT_LABELS.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(F.trim(label))), F.initcap(F.trim(label)))
+    runs = F.regexp_extract_all(F.trim(label), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(label))), F.array_join(F.transform(runs, F.initcap), ""))
 
 
 def predictions(raw: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from quillon.operators.metrics import candidate_text, entity_metrics
 from quillon.operators.sampling import stratified_sample
 from quillon.operators.scan import evidence_of, match_rows, match_spans, priority, regex_evidence, scan_table, spread
 from quillon.plans.profile import profile_table, profile_tables
+from quillon import queries_rules
 from quillon.work import stash
 
 #: Day for ages, so that results don't depend on when they are computed.
@@ -27,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(queries_rules.QUERIES)
+ORACLES: dict[str, str] = dict(queries_rules.ORACLES)
 
 
 def query(sql: str | None = None):
