@@ -104,13 +104,63 @@ def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8_mixing has a form in SQL."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4_secret_scan has a form in SQL."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7_sketches has a form in SQL."""
+    return op7_sketches(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 OPERATORS = (op1_vector_forest, op2_language, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_simhash, op7_sketches, op8_mixing, op9_passages, op10_chat_format)
-QUERIES = {f.__name__: f for f in OPERATORS}
+PARTS = (mixing_targets, secret_counts, edited_texts)
+QUERIES = {f.__name__: f for f in OPERATORS + PARTS}
 
 # Characters that escaping adds: one for each backslash and each control string.
 _ADDED = "+".join(f"(length({{0}}) - length(replace({{0}}, '{s}', ''))) // {len(s)}" for s in ("\\", "<s>", "</s>", "[INST]", "[/INST]"))
 
+_KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+
 ORACLES: dict[str, str] = {
+    "op1_vector_forest": """
+        with recursive v as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on l.x = r.y),
+        roots as (select x, min(y) as component_id from reach group by x),
+        counts as (select x, count(*) as n from links group by x)
+        select e.vec_id, coalesce(c.n, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept from embeddings e join roots r on r.x = e.vec_id left join counts c on c.x = e.vec_id
+    """,
+    "mixing_targets": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+        s as (select source, sum(size) as source_size from d group by source),
+        w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from s),
+        o as (select *, 3 * source_size / weight as ratio, row_number() over (order by 3 * source_size / weight, source nulls last) as place from w),
+        l as (select a.place, a.ratio, ((select sum(source_size) from o) - coalesce((select sum(3 * source_size) from o b where b.place < a.place), 0))::double / (select sum(weight) from o b where b.place >= a.place)::double as level from o a),
+        f as (select level from l where level <= ratio order by place limit 1)
+        select d.doc_id, d.size::bigint as size, o.source_size::bigint as source_size,
+            case when coalesce(o.ratio < (select level from f), true) then 3.0 * o.source_size else (select level from f) * o.weight end::double as target
+        from d join o on o.source is not distinct from d.source
+    """,
+    "secret_counts": rf"""
+        select doc_id, len(list_filter(regexp_extract_all(t, '({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) as n_assign,
+            len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) as n_hex
+        from (select doc_id, coalesce(text, '') as t from documents)
+    """,
+    "edited_texts": """
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        n as (select doc_id, t, length(t) as n, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as after from d)
+        select doc_id, n as n_chars, sha256(left(t, n - n // 2) || left(after, n // 2)) as edited_sha256 from n
+    """,
     "op10_chat_format": f"""
         with said as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
