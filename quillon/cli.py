@@ -30,6 +30,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--policy-config", help="JSON file that Spark can read")
     p.add_argument("--encoding", default="UTF-8")
     p.add_argument("--delimiter", default=",")
+    p.add_argument("--single-line", action="store_true", help="no cell holds a line break, so that CSV files can be split among tasks")
     p.add_argument("--region", default="IN", help="kept for compatibility; has no effect")
     p.add_argument("--language", default="en", help="kept for compatibility; has no effect")
     return p
@@ -40,7 +41,7 @@ def main(argv: Sequence[str] | None = None) -> dict[str, str]:
     spark = SparkSession.builder.getOrCreate()
     profile = PROFILES[args.profile]
     if args.format == "csv":
-        table = read_csv(spark, args.input, args.profile == "v13", args.encoding, args.delimiter, args.columns)
+        table = read_csv(spark, args.input, args.profile == "v13", args.encoding, args.delimiter, args.columns, not args.single_line)
     else:
         table = read_table(spark, args.input, args.format, args.columns)
     policy = policy_overlay(spark.read.text(args.policy_config, wholetext=True).first()[0]) if args.policy_config else None

@@ -173,6 +173,10 @@ NER_LABELS = {
     "ORGANIZATION": "Organization", "URL": "URL", "MEDICAL_LICENSE": "Medical License", "UK_NHS": "UK NHS Number", "US_DRIVER_LICENSE": "Driver License Number",
     "US_PASSPORT": "Passport Number", "US_BANK_NUMBER": "Bank Account Number", "US_ITIN": "Tax Identification Number",
 }
+# Model labels that stand for a recogniser's label, and those that are left out; what a weak label's score is worth.
+NER_RENAMED = {"PER": "PERSON", "LOC": "LOCATION", "GPE": "LOCATION", "ORG": "ORGANIZATION"}
+NER_IGNORED = ("CARDINAL", "DATE", "MONEY", "ORDINAL", "PERCENT", "QUANTITY", "TIME", "WORK_OF_ART", "EVENT", "FAC", "PRODUCT", "LANGUAGE")
+NER_WEAK_FACTOR = 0.4
 ZERO_SHOT_LABELS = {
     "person name": "Person Name", "email address": "Email Address", "phone number": "Phone Number", "home address": "Address", "street address": "Address",
     "location": "Location", "date of birth": "Date of Birth", "age": "Age", "aadhaar number": "Aadhaar Number", "pan number": "PAN Number",

@@ -14,6 +14,7 @@ _PROFILE = (
     "row_support", "related", "material",
 )
 
+# The columns of the report in order.
 RESULT = (
     "Output_Schema_Version", "Detector_Version", "Column_Name", "PII_Detected", "Entity_Detected", "Policy_PII", "Policy_Action", "Final_Entity_Type", "Adjudicated_Entity",
     "Primary_Entity", "Stage1_Detected_Entity", "Stage1_Primary_Candidate", "Stage1_Candidate_Entities", "Detected_Entity_Set", "Presidio_Support", "Regex_Support",
@@ -73,6 +74,7 @@ def decisions(scored: DataFrame, text: DataFrame) -> DataFrame:
     conflict = F.coalesce((second["score"] >= p["score"] - 0.05) & (second["entity"] != parent_of_first), F.lit(False))
     r4 = lambda c: F.round(c, 4)
     two = lambda label, c: F.format_string(f"{label}=%.2f", c)
+    # The texts of reasons.
     reason_accepted = F.concat(
         F.concat_ws(
             "; ",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.fixed import NER_LABELS, V16, ZERO_SHOT_PROMPTS
+from quillon.fixed import NER_IGNORED, NER_LABELS, NER_RENAMED, NER_WEAK_FACTOR, V16, ZERO_SHOT_PROMPTS
 from quillon.functions.names import name_facts
 from quillon.functions.text import normalize_value
 from quillon.operators.zero_shot import context_prefix, predictions
@@ -27,8 +27,13 @@ def ner_entity(label: str) -> str:
     return NER_LABELS.get(label, label.replace("_", " ").title())
 
 
-def ner_provider(name: str, load: Callable[[], Callable[[str], list[tuple[str, float, int, int]]]]) -> Callable[[DataFrame], DataFrame]:
-    """From a loader of a function text -> [(label, score, start, end)]. A text on which it fails has no detections."""
+def ner_provider(
+    name: str, load: Callable[[], Callable[[str], list[tuple[str, float, int, int]]]], ignored: tuple[str, ...] = NER_IGNORED, renamed: dict[str, str] = NER_RENAMED, weak: tuple[str, ...] = (), factor: float = NER_WEAK_FACTOR
+) -> Callable[[DataFrame], DataFrame]:
+    """From a loader of a function text -> [(label, score, start, end)]. A text on which it fails has no detections.
+
+    Labels in ``ignored`` are left out, those in ``renamed`` changed, and scores of labels in ``weak`` multiplied by ``factor``.
+    """
 
     def provide(values: DataFrame) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +45,11 @@ def ner_provider(name: str, load: Callable[[], Callable[[str], list[tuple[str, f
                         found = find(value)
                     except Exception:  # noqa: BLE001  any failure of a model counts as nothing found
                         found = []
-                    rows += [(column, value, ner_entity(label), float(score), int(start), int(end)) for label, score, start, end in found]
+                    rows += [
+                        (column, value, ner_entity(renamed.get(label, label)), float(score) * (factor if label in weak else 1.0), int(start), int(end))
+                        for label, score, start, end in found
+                        if label not in ignored
+                    ]
                 yield pd.DataFrame(rows, columns=["column_name", "value", "entity", "score", "start", "end"])
 
         return values.select("column_name", "value").mapInPandas(scan, "column_name string, value string, entity string, score double, start int, end int")

@@ -154,7 +154,7 @@ def profiles(rows: DataFrame, metrics: DataFrame, names: DataFrame, columns: Dat
     sparse_phone = _is("Phone Number") & (cnt >= 1) & F.coalesce(v >= 0.95, F.lit(False)) & (specificity >= 0.70) & ~negative & ((s >= 0.55) | (g >= 0.60) | (agreement >= 0.50))
     times((cnt == 1) & (F.col("distinct_values") >= 20) & (s < 0.55) & (ge < 0.45) & ~sparse_phone, 0.62)
 
-    # Gates of single entities: a reason to reject, or a factor or bonus.
+    # Gates of single entities: a reason to reject, or a factor or bonus. The reasons' texts.
     weak_name = (s < 0.55) & (g < 0.50)
     below = lambda x: F.coalesce(v < x, F.lit(False))
     reject = (

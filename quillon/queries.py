@@ -207,6 +207,7 @@ _double = f"(case when i % 2 = 0 then (case when {_luhn_digit} > 4 then 2 * {_lu
 _validator_query("luhn", "Credit Card Number", "'4' || " + _pad("k * 104729 % 1000000000000000", 15), _DIGIT_SUM.format(_double) + " % 10 = 0")
 _validator_query("nhs", "UK NHS Number", _pad("k * 104729 % 10000000000", 10), "(11 - list_sum(list_transform(range(1, 10), lambda i: cast(substr(v, i, 1) as int) * (11 - i))) % 11) % 11 = cast(substr(v, 10, 1) as int)")
 _validator_query("iban", "IBAN", "'GB' || " + _pad("k % 100", 2) + " || 'WEST' || " + _pad("k * 104729 % 100000000000000", 14), "cast('32142829' || substr(v, 9, 14) || '1611' || substr(v, 3, 2) as hugeint) % 97 = 1")
+# The multiplication table of the dihedral group of ten elements, row after row as SQL indexes it, and the step between places.
 _MUL = "[" + ", ".join(str(d) for d in ([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 0, 6, 7, 8, 9, 5, 2, 3, 4, 0, 1, 7, 8, 9, 5, 6, 3, 4, 0, 1, 2, 8, 9, 5, 6, 7, 4, 0, 1, 2, 3, 9, 5, 6, 7, 8, 5, 9, 8, 7, 6, 0, 4, 3, 2, 1, 6, 5, 9, 8, 7, 1, 0, 4, 3, 2, 7, 6, 5, 9, 8, 2, 1, 0, 4, 3, 8, 7, 6, 5, 9, 3, 2, 1, 0, 4, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0])) + "]"
 _STEP = "[1, 5, 7, 6, 2, 8, 3, 0, 9, 4]"
 

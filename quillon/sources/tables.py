@@ -16,16 +16,17 @@ from quillon.operators.scoring import Policy
 MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str, keep_missing: bool = False, encoding: str = "UTF-8", delimiter: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, keep_missing: bool = False, encoding: str = "UTF-8", delimiter: str = ",", columns: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
     """All cells as strings; types are never inferred. Missing cells are empty strings.
 
     By default cells of MISSING are empty too; ``keep_missing`` leaves them as they are, as the older
-    generation does. A missing file is an error, and so are repeated names in the header.
+    generation does. A missing file is an error, and so are repeated names in the header. A file whose cells
+    hold no line breaks can be read with ``multiline=False``, and is then split among tasks.
     """
-    header = spark.read.option("encoding", encoding).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path, header=False).head()
+    header = spark.read.option("encoding", encoding).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(path, header=False).head()
     if header is not None and (again := [n for n, k in Counter(header).items() if k > 1]):
         raise ValueError(f"column names repeat: {again}")
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', encoding=encoding, sep=delimiter, nullValue="\x00", emptyValue="").na.fill("")
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"', encoding=encoding, sep=delimiter, nullValue="\x00", emptyValue="").na.fill("")
     if not keep_missing:
         df = df.replace(list(MISSING), [""] * len(MISSING))
     return as_strings(df, columns)

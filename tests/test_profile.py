@@ -88,6 +88,25 @@ def test_models(people):
     assert row.Evidence_Score == pytest.approx(min(1.0, 0.46 + 0.24 + 0.18 * 0.97 + 0.06 + 0.06 + 0.04), abs=1e-3)
 
 
+def test_labels_of_a_model(people, spark):
+    found = [("PER", 0.8, 0, 3), ("DATE", 0.9, 0, 3), ("GPE", 0.5, 0, 3), ("X_Y", 0.5, 0, 3)]
+    out = ner_provider("labels", lambda: lambda text: found, weak=("GPE",))(spark.createDataFrame([("c", "abc")], "column_name string, value string")).collect()
+    assert sorted((r.entity, round(r.score, 3)) for r in out) == [("Location", 0.2), ("Person Name", 0.8), ("X Y", 0.5)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillon import cli
+
+    path = tmp_path / "in.csv"
+    path.write_text("email;n\n" + "".join(f"user{i}@host.org;{i}\n" for i in range(25)), encoding="utf-8")
+    paths = cli.main(["--input", str(path), "--delimiter", ";", "--output-dir", str(tmp_path / "out"), "--mask-password", "pw", "--single-line"])
+    assert set(paths) == {"detailed_report", "summary_report", "timing_report", "masked_data"} and "PII DETECTED: 1 columns" in capsys.readouterr().out
+    detailed = {r.Column_Name: r for r in spark.read.csv(paths["detailed_report"], header=True, multiLine=True, escape='"').collect()}
+    assert detailed["email"].Primary_Entity == "Email Address" and detailed["n"].Policy_Action == "NONE" and detailed["n"].Validator_Pass_Rate == "N/A"
+    old = cli.main(["--input", str(path), "--delimiter", ";", "--output-dir", str(tmp_path / "old"), "--profile", "v13", "--columns", "email", "--max-samples", "5"])
+    assert spark.read.csv(old["report"], header=True).columns == list(OLD_RESULT)
+
+
 def test_failing_model_counts_as_nothing(people):
     def fail(text):
         raise RuntimeError
