@@ -789,6 +789,27 @@ def test_passages_that_go_on_from_a_frequent_line(spark, seed):
     assert want <= got and len(got - want) <= 10
 
 
+def test_frequent_groups_change_only_how_rows_are_dealt(spark, monkeypatch):
+    from quillon.llm import passages
+
+    rng = random.Random(22)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    common, line = [word() for _ in range(90)], [word() for _ in range(20)]
+    rows = []
+    for i in range(240):
+        words = [word() for _ in range(60)]
+        at = rng.randrange(len(words))
+        words[at:at] = (common if i % 3 == 0 else line) if i % 4 else []
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(passages.frequent_groups(docs)[0]) > 20
+    often = {r.doc_id: r.component_id for r in passages.repeated_passages(docs).collect()}
+    monkeypatch.setattr(passages, "OFTEN", 1 << 30)
+    assert not len(passages.frequent_groups(docs)[0])
+    assert {r.doc_id: r.component_id for r in passages.repeated_passages(docs).collect()} == often
+    assert set(often) == {i for i in range(240) if i % 3 == 0 and i % 4}
+
+
 def test_intervals_agree_by_brute_force():
     from quillon.llm.passages import LEAST, SHIFT, agreeing
 
