@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._work import stash
+from quillon.llm._work import discard, scratch, stash
 from quillon.llm.stages import language_id, secret_redaction, sequence_packing, simhash_dedup, source_mix
 
 STAGES = [
@@ -24,7 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage writes on its way goes when its result is written, and that when the next one is."""
+    first = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            done = stash(stage(spark, docs, sf_dir), name, kept=True)
+        if docs is not first:
+            discard(docs)
+        docs = done
     return docs

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.work import discard, new_folder, shared_folder, stash
+from quillon.work import discard, new_folder, scratch, shared_folder, stash
 
-__all__ = ["beside", "discard", "free_name", "new_folder", "shared_folder", "stash", "text_slices", "whole_groups"]
+__all__ = ["beside", "discard", "free_name", "new_folder", "scratch", "shared_folder", "stash", "text_slices", "whole_groups"]
 
 
 def free_name(taken: Iterable[str], name: str) -> str:
