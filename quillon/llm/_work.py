@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.work import discard, new_folder, scratch, shared_folder, stash
 
-__all__ = ["beside", "discard", "free_name", "new_folder", "scratch", "shared_folder", "stash", "text_slices", "whole_groups"]
+__all__ = ["beside", "discard", "free_name", "new_folder", "scratch", "shared_folder", "stash", "text_slices", "trimmed", "whole_groups"]
 
 
 def free_name(taken: Iterable[str], name: str) -> str:
@@ -53,6 +53,22 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
         at = to
 
 
+def trimmed(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``scan`` for mapInArrow, after which the worker gives back what its allocators hold: Spark keeps workers for other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: tuple[str, ...], chunk: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
     """Rows of batches that are sorted by the columns ``by``, in chunks of about ``chunk`` that hold whole groups."""
     parts: list[dict[str, np.ndarray]] = []

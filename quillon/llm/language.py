@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash, text_slices
+from quillon.llm._work import stash, text_slices, trimmed
 
 #: Labelled rows learned from for each language, about, and languages that are learned at most: those of most rows.
 ROWS = 5_000
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Model:
         own, bucket = np.nonzero(sums)
         yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[own, bucket])], names=["lang", "bucket", "n"])
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", "lang").mapInArrow(trimmed(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = stash(counted, "grams").toPandas()  # at most a row for each language and bucket
     sums = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
     sums[table["bucket"], table["lang"]] = table["n"]
@@ -258,4 +258,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(scan, f"{fields}, lang_pred string, lang_score double, lang_spans {SPANS}")
+    return rest.mapInArrow(trimmed(scan), f"{fields}, lang_pred string, lang_score double, lang_spans {SPANS}")

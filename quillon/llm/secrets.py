@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._work import text_slices
+from quillon.llm._work import text_slices, trimmed
 
 # The patterns of the strong kinds, in the order in which kinds are listed.
 ASSIGN = re.compile("((?ai:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -123,7 +123,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 spans = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t)] for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), pa.array(spans, _SPANS)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"doc_id long, spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(scan), f"doc_id long, spans {SPANS}")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -164,7 +164,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     part = part.set_column(n, kind, pa.array(counts, kind.type))
                 yield part
 
-    return docs.mapInArrow(clean, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    return docs.mapInArrow(trimmed(clean), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
 
 
 def as_text(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash, text_slices, whole_groups
+from quillon.llm._work import stash, text_slices, trimmed, whole_groups
 from quillon.llm.components import components
 
 BITS = 3
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64)), *[part.column(c) for c in more]], names=["doc_id", "fingerprint", *more])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if digest is None else [digest.alias("digest")]))
-    return rows.mapInArrow(scan, "doc_id long, fingerprint long" + "".join(f", {c} long" for c in more))
+    return rows.mapInArrow(trimmed(scan), "doc_id long, fingerprint long" + "".join(f", {c} long" for c in more))
 
 
 def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +163,8 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
             a, b = _links(rows, bits, few)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    at = prints.select("fingerprint").mapInArrow(replicate, "anchor long, fingerprint long, home boolean")
-    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+    at = prints.select("fingerprint").mapInArrow(trimmed(replicate), "anchor long, fingerprint long, home boolean")
+    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(compare), "a long, b long").filter("a <> b").distinct()
 
 
 def simhash_groups(docs: DataFrame, bits: int = BITS, digest: Column | None = None) -> DataFrame:

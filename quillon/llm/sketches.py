@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash, text_slices
+from quillon.llm._work import stash, text_slices, trimmed
 from quillon.llm.words import flat, shingle_hashes, word_hashes
 
 WIDTH = 5
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 own = sketches([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), pa.array(map(as_hex, own), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(scan), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -165,4 +165,4 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield records([(*held, *first)])
 
-    return with_next(docs).mapInArrow(scan, EDITED)
+    return with_next(docs).mapInArrow(trimmed(scan), EDITED)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._work import new_folder, stash, text_slices
+from quillon.llm._work import new_folder, stash, text_slices, trimmed
 
 MANIFEST = "part int, place int, name string, n_docs long, n_nulls long, n_tokens long, width int"
 #: Ids from which a partition goes on in a new shard, after whole documents.
@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             yield shard.close(part, place)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stash(dealt.mapInArrow(write, MANIFEST), "manifest")
+    manifest = stash(dealt.mapInArrow(trimmed(write), MANIFEST), "manifest")
     _sweep(manifest, folder, run)
     # One row a shard, so that a single partition of them is small at any size of the corpus.
     before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +131,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
 
     # One small row a shard: dealt one by one, else a single task would read all the files.
     n = max(1, manifest.count())
-    return manifest.repartition(n, "part", "place").mapInArrow(read, WITH_IDS if with_ids else READ)
+    return manifest.repartition(n, "part", "place").mapInArrow(trimmed(read), WITH_IDS if with_ids else READ)
 
 
 def _read_shard(shard: dict, with_ids: bool, rows: int = 4096) -> Iterator[pa.RecordBatch]:

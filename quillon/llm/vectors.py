@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._work import stash
+from quillon.llm._work import stash, trimmed
 from quillon.llm.components import components
 
 COSINE = 0.93
@@ -113,7 +113,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     good = vectors.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     kind = vectors.schema["label"].dataType.simpleString()
     cast = good.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<float>" if dtype == "<f4" else "array<double>").alias("embedding"))
-    return cast.mapInArrow(scan, f"vec_id long, label {kind}, dim int, raw binary").filter(F.col("raw").isNotNull())
+    return cast.mapInArrow(trimmed(scan), f"vec_id long, label {kind}, dim int, raw binary").filter(F.col("raw").isNotNull())
 
 
 def _local_roots(linked: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def _compare_all(reps: DataFrame, forests: dict[int, list[Tree]], cosine: float,
             yield pa.record_batch([*batch.columns, pa.array(each, pa.binary())], names=[*batch.schema.names, "codes"])
 
     fields = f"vec_id long, label {kind}, dim int, copies long, raw binary, codes binary"
-    base = stash(reps.select("vec_id", "label", "dim", "copies", "raw").mapInArrow(put, fields), "leaves")
+    base = stash(reps.select("vec_id", "label", "dim", "copies", "raw").mapInArrow(trimmed(put), fields), "leaves")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,7 @@ def _compare_all(reps: DataFrame, forests: dict[int, list[Tree]], cosine: float,
             rows = np.repeat(np.arange(batch.num_rows), [len(c) for c in own])
             yield pa.record_batch([*batch.take(pa.array(rows)).columns, pa.array(np.concatenate(own) if own else np.empty(0, np.int64))], names=[*batch.schema.names, "code"])
 
-    at = base.mapInArrow(unpack, f"{fields}, code long")
+    at = base.mapInArrow(trimmed(unpack), f"{fields}, code long")
     large = at.groupBy("label", "dim", "code").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK)
     blocks = large.select(F.col("label").alias("l"), F.col("dim").alias("m"), F.col("code").alias("c"), F.ceil(F.col("rows") / (BLOCK * 0.9)).cast("int").alias("blocks"))
     dealt = at.join(blocks, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("m")) & (F.col("code") == F.col("c")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
