@@ -302,6 +302,53 @@ def stratified_samples(spark, sf_dir):
     return stratified_sample(found).select("column_name", "place", F.md5("value").alias("value_md5"), "priority", "entities")
 
 
+_LUHN_DIGIT = "cast(substr({d}, length({d}) + 1 - i, 1) as int)"
+_LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: case when i % 2 = 0 then (case when {x} > 4 then 2 * {x} - 9 else 2 * {x} end) else {x} end)) % 10 = 0"
+
+
+def _passes_sql(entity: str) -> str:
+    """Whether a match ``m`` passes its entity's validator, for the entities that occur in documents."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return {
+        "Email Address": "true",
+        "IP Address": f"regexp_full_match(m, '({octet}[.]){{3}}{octet}')",
+        "Phone Number": f"case when m[1] = '+' then regexp_full_match(m, '[+][1-9][0-9]{{6,14}}') else regexp_full_match({digits}, '[1-9][0-9]{{9}}|91[6-9][0-9]{{9}}') end",
+        "Credit Card Number": f"length({digits}) between 13 and 19 and not regexp_full_match({digits}, repeat({digits}[1], length({digits}))) and " + _LUHN.format(d=digits, x=_LUHN_DIGIT.format(d=digits)),
+    }[entity]
+
+
+_JUDGED = {"email": "Email Address", "ipv4": "IP Address", "phone_us": "Phone Number", "cc_groups": "Credit Card Number"}
+_ZEROS = "semantic agreement structure row_unaddressed ner_raw ner_weighted g_value g_context g_consistency g_mean g_success rival_gap contradiction name_address name_passport name_license".split()
+_TEXT_CANDIDATES = f"""
+    select entity, support_count, regex_raw, regex_raw as union_raw, regex_weighted, regex_weighted as union_weighted, specificity, exact_support, row_support, distinct_values, validator,
+        false as negative, false as generic, false as coarse_place, {", ".join(f"0e0 as {c}" for c in _ZEROS)} from measured"""
+_TEXT_BEFORE = f"""{_evidence_sql("documents", "text").strip()},
+    judged as ({" union all ".join(f"select value, '{entity}' as entity, len(list_filter({_found_sql(name, 'v')}, lambda m: {_passes_sql(entity)})) > 0 as passed from x where len({_found_sql(name, 'v')}) > 0" for name, entity in _JUDGED.items())}),
+    rates as (select entity, count(*) filter (where passed) / count(*) as validator from judged group by entity),
+    measured as (select e.entity, count(*) as support_count, any_value(z.distinct_values) as distinct_values, count(*) / any_value(z.distinct_values) as regex_raw, sum(e.regex) / (any_value(z.distinct_values) * 100) as regex_weighted,
+        sum(e.weight) / (sum(e.matches) * 100) as specificity, count(*) filter (where e.exact) / any_value(z.distinct_values) as exact_support, sum(e.value_rows) / any_value(z.all_rows) as row_support, any_value(rates.validator) as validator
+        from e cross join z left join rates on rates.entity = e.entity group by e.entity), """
+
+
+_TEXT_CHOSEN = f"""{queries_rules.rules_sql(_TEXT_CANDIDATES, _TEXT_BEFORE)},
+    ranked as (select *, row_number() over (order by score desc, entity) as place, row_number() over (order by case when accepted then 0 when detected then 1 else 2 end, score desc, entity) as turn from b5),
+    chosen as (select * from ranked where turn = 1)"""
+
+
+@query(f"""{_TEXT_CHOSEN},
+    runner as (select * from ranked where entity <> (select entity from chosen) and (union_raw >= 0.03 or support_count >= 2) order by place limit 1)
+    select 'text' as column_name, case when accepted then 'PROTECT' when detected then 'DETECTED_EXCLUDED' else 'NONE' end as policy_action, case when accepted or detected then entity end as primary_entity,
+        (select string_agg(entity, ' | ' order by place) from ranked where accepted) as final_entity_type, (select string_agg(entity, ' | ' order by place) from ranked where second and (union_raw >= 0.05 or support_count >= 2)) as detected_entity_set,
+        round(score, 4) as evidence_score, round(score - threshold, 4) as decision_margin, round(regex_raw, 4) as regex_support, round(regex_weighted, 4) as weighted_regex_support, round(validator, 4) as validator_pass_rate, kind as validator_type,
+        (select entity from runner) as runner_up_entity, round((select score from runner), 4) as runner_up_score, round(coalesce(greatest(0.0, score - (select score from runner)), 1.0), 4) as runner_up_margin from chosen""")
+def profile_text(spark, sf_dir):
+    """The profile of documents' texts, but for reasons and times, which have no short form in SQL."""
+    out = profile_table(table(spark, sf_dir, "documents"), ["text"], as_of=AS_OF)
+    names = "Column_Name Policy_Action Primary_Entity Final_Entity_Type Detected_Entity_Set Evidence_Score Decision_Margin Regex_Support Weighted_Regex_Support Validator_Pass_Rate Validator_Type Runner_Up_Entity Runner_Up_Score Runner_Up_Margin"
+    return out.select(*[F.col(c).alias(c.lower()) for c in names.split()])
+
+
 # --- Profiles and reports ----------------------------------------------------------------------------------------------
 
 
@@ -326,11 +373,18 @@ def profile_customer_orders(spark, sf_dir):
     return profile_table(orders, as_of=AS_OF)
 
 
-@query("select * from (values ('text', 'PII', 'PROTECT'), ('source', 'SAFE', 'NONE')) as t(column_name, status, policy_action)")
+@query(f"""{_TEXT_CHOSEN},
+    said as (select 'text' as column_name, case when accepted then 'PROTECT' when detected then 'DETECTED_EXCLUDED' else 'NONE' end as policy_action,
+        case when accepted then (select string_agg(entity, ' | ' order by place) from ranked where accepted) when detected then entity else '{reports.NOTHING}' end as entity_type,
+        case when accepted then (select string_agg(entity, ' | ' order by place) from ranked where accepted) else '{reports.NOTHING}' end as entity from chosen
+        union all select 'source', 'NONE', '{reports.NOTHING}', '{reports.NOTHING}' where not exists (select * from ({_counts_sql("(select distinct source as v from documents) s", "v", "v")})))
+    select column_name, policy_action, entity_type, entity, case policy_action when 'PROTECT' then '{reports.LABELS["PROTECT"]}' when 'NONE' then '{reports.LABELS["NONE"]}' else '{reports.LABELS["DETECTED_EXCLUDED"]}' end as pii_status,
+        case policy_action when 'PROTECT' then 'PII' when 'NONE' then 'SAFE' else 'EXCLUDED' end as status from said""")
 def summary_documents(spark, sf_dir):
-    out = profile_tables(table(spark, sf_dir, "documents"), ["text", "source"], as_of=AS_OF).results
-    short = reports.short_summary(out).select(F.col("Column").alias("column_name"), F.col("Status").alias("status"))
-    return short.join(reports.summary(out).select(F.col("Column_Name").alias("column_name"), F.col("Policy_Action").alias("policy_action")), "column_name")
+    out = stash(profile_tables(table(spark, sf_dir, "documents"), ["text", "source"], as_of=AS_OF).results, "results")
+    short = reports.short_summary(out).select(F.col("Column").alias("c"), F.col("Status").alias("status"), F.col("Entity").alias("entity"))
+    long = reports.summary(out).select(F.col("Column_Name").alias("column_name"), F.col("Policy_Action").alias("policy_action"), F.col("Entity_Type").alias("entity_type"), F.col("PII_Status").alias("pii_status"))
+    return long.join(short, F.col("column_name") == F.col("c")).drop("c")
 
 
 # --- Masking ---------------------------------------------------------------------------------------------------------
@@ -354,7 +408,8 @@ def mask_preview(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", masking.preview(F.col("c_name")).alias("shown"))
 
 
-@query("select 'c_name [MASKED]' as column_name")
+@query("select case when column_name in ('c_name', 'c_mktsegment') then column_name || ' [MASKED]' else column_name end as column_name, column_name in ('c_name', 'c_mktsegment') as masked from (describe customer)")
 def masked_column_names(spark, sf_dir):
-    masked = masking.mask_table(table(spark, sf_dir, "customer"), ["c_name"], PASSWORD)
-    return spark.createDataFrame([(c,) for c in masking.masked_columns(masked)], "column_name string")
+    masked = masking.mask_table(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], PASSWORD)
+    known = set(masking.masked_columns(masked))
+    return spark.createDataFrame([(c, c in known) for c in masked.columns], "column_name string, masked boolean")

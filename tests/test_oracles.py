@@ -8,7 +8,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ("dictionary_customer", "null_like_filter", "value_signatures", "long_values", "entity_metrics_pages", "valid_iban", "valid_national_insurance", "valid_birth_date", "mask_shape")
+NAMES = ("dictionary_customer", "null_like_filter", "value_signatures", "long_values", "entity_metrics_pages", "valid_iban", "valid_national_insurance", "valid_birth_date", "mask_shape", "name_scores", "model_labels", "csv_customer", "masked_column_names")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
