@@ -12,16 +12,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-#: Bytes of an Arrow batch, so that rows of long texts take little memory beside the heap; a setting of the session's own stays.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Bytes of an Arrow batch and rows that a Parquet reader holds, so that long texts take little memory; settings of the session's own stay.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def ensure_shipped(spark: SparkSession) -> None:
-    """Sends the package to executors once a session, unless PYTHONPATH already tells them where it is; bounds Arrow batches."""
+    """Sends the package to executors once a session, unless PYTHONPATH already tells them where it is; bounds batches of rows."""
     top = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.getConf().contains(BATCH):
-        spark.conf.set(BATCH, BATCH_BYTES)
+    for name, value in BOUNDS.items():
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, value)
     if app in _SHIPPED or str(top.parent) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)):
         return
     _SHIPPED.add(app)
