@@ -10,6 +10,7 @@ string of an added token, are run as they are.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -66,8 +67,10 @@ class Encoder:
         # What this module cuts itself; anything else goes to the library as a chunk.
         self.simple = re.compile("[\\t\\n\\r -~\\u00a1-\\u024f\\u0370-\\u03ff\\u0400-\\u04ff]+").fullmatch
         # A text with a string of an added token, in whatever case, goes to the library whole: it cuts these out first.
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
-        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        start = re.match("[^A-Za-z\x80-\U0010ffff]*", os.path.commonprefix(added))[0]  # signs that all begin with, quick to look for
+        held = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search
+        self.added = (lambda text: start in text and held(text)) if added else lambda text: None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
