@@ -789,6 +789,40 @@ def test_passages_that_go_on_from_a_frequent_line(spark, seed):
     assert want <= got and len(got - want) <= 10
 
 
+@pytest.mark.parametrize("before", [False, True])
+def test_passages_that_have_a_frequent_line_and_more_after_a_changed_word(spark, before):
+    """480 texts have a line that is too short; pairs of them have twelve more words beside it, but for a word between."""
+    from quillon.llm.passages import repeated_passages
+
+    rng = random.Random(23)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    own = lambda: [word() for _ in range(30)]
+    line, texts = [word() for _ in range(44)], []
+    for i in range(400):
+        more = [word() for _ in range(12)]
+        for _ in range(1 + (i % 5 == 0)):
+            texts.append(own() + ([*more, word(), *line] if before else [*line, word(), *more]) + own())
+    pairs = [(i + i // 5 + (i % 5 > 0), i + i // 5 + 1) for i in range(0, 400, 5)]
+    name = rng.sample(range(len(texts)), len(texts))
+    rows = [(name[i], " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {name[k]: min(name[a], name[b]) for a, b in pairs for k in (a, b)}
+
+
+def test_all_meet_in_small_groups_and_keys_of_others_are_told():
+    from quillon.llm.passages import MET, meetings
+
+    sizes = [1, 2, MET, MET + 1, 3]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.concatenate([np.random.default_rng(n).permutation(n) for n in sizes])
+    n = len(key)
+    found, rest = meetings({"key": key, "row": row, "place": np.arange(n) << 32, "near": np.zeros(n, np.int64), "far": np.zeros(n, np.int64)})
+    got = set(zip(found["pa"] >> 32, found["pb"] >> 32))
+    assert list(rest) == [3] and all(found["a"] < found["b"])
+    want = {(i, j) if row[i] < row[j] else (j, i) for k in (0, 1, 2, 4) for i in np.flatnonzero(key == k) for j in np.flatnonzero(key == k) if i < j}
+    assert want <= got and {x for p in got - want for x in p} == set(np.flatnonzero(key == 3))
+
+
 def test_frequent_groups_change_only_how_rows_are_dealt(spark, monkeypatch):
     from quillon.llm import passages
 
