@@ -22,6 +22,10 @@ import numpy as np
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The pattern of word-level ones, and signs that are one piece by either pattern where they follow letters to the end of a chunk.
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: Chunks kept in a generation of the memo: about 90 MB at most in each worker.
 MEMO = 400_000
 
@@ -56,14 +60,15 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         steps = before.get("pretokenizers", [])
         plain_model = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-        self.fold, self.chunks, self.cut = False, None, None
+        self.fold, self.chunks, self.cut, self.known = False, None, None, False
         if plain_model and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
             self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-            self.cut = regex.compile(BYTE_LEVEL)
+            self.cut, self.known = regex.compile(BYTE_LEVEL), True
         elif plain_model and kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
             self.fold, self.chunks = True, re.compile(f"[^{WHITE}]+")
-            self.cut = regex.compile(steps[0]["pattern"]["Regex"])
+            self.cut, self.known = regex.compile(steps[0]["pattern"]["Regex"]), steps[0]["pattern"]["Regex"] == WORD_LEVEL
         self.letters = _byte_letters()
+        self.bytes = [i.to_bytes(4, "little") for i in range(1 + max(spec["model"]["vocab"].values(), default=-1))] if plain_model else []
         # What this module cuts itself; anything else goes to the library as a chunk.
         self.simple = re.compile("[\\t\\n\\r -~\\u00a1-\\u024f\\u0370-\\u03ff\\u0400-\\u04ff]+").fullmatch
         # A text with a string of an added token, in whatever case, goes to the library whole: it cuts these out first.
@@ -71,7 +76,8 @@ class Encoder:
         start = re.match("[^A-Za-z\x80-\U0010ffff]*", os.path.commonprefix(added))[0]  # signs that all begin with, quick to look for
         held = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search
         self.added = (lambda text: start in text and held(text)) if added else lambda text: None
-        self.young: dict[str, bytes] = {}
+        self.memo = type("Memo", (dict,), {"__missing__": self._missing})
+        self.young: dict[str, bytes] = self.memo()
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -81,8 +87,15 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            if not piece.isascii():
+                shown = "".join(map(self.letters.__getitem__, piece.encode()))
+            elif piece.isalnum():
+                shown = piece
+            elif piece[0] == " " and piece[1:].isalnum():
+                shown = self.letters[32] + piece[1:]
+            else:
+                shown = "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(shown)])
             if len(self.pieces) >= MEMO:
                 self.pieces.clear()
             if len(piece) <= KEPT_CHARS:
@@ -90,36 +103,37 @@ class Encoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.simple(chunk):
+        plain = chunk.isascii()
+        if not plain and not self.simple(chunk):
             return self._whole(chunk)
         if self.fold:
-            chunk = chunk.lower() if chunk.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+            chunk = chunk.lower() if plain else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+        if self.known:
+            # Most new chunks are a word of letters, perhaps after a line's end or before signs: these need no pattern.
+            line = chunk[0] == "\n"
+            rest = chunk[1:] if line else chunk
+            body = rest.rstrip(SIGNS)
+            if body[not line and body[:1] == " " :].isalpha():
+                ids = self._piece(body) if len(body) == len(rest) else self._piece(body) + self._piece(rest[len(body) :])
+                return self._piece("\n") + ids if line else ids
+        if plain and not self.simple(chunk):
+            return self._whole(chunk)
         return b"".join([self._piece(p) for p in self.cut.findall(chunk)])
 
-    def __missing(self, chunk: str) -> bytes:
+    def _missing(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             ids = self._chunk(chunk)
         if len(chunk) <= KEPT_CHARS:
             if len(self.young) >= MEMO:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, self.memo()
             self.young[chunk] = ids
         return ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         if self.chunks is None:
             return [self._whole(t) for t in texts]
-        out = []
-        for text in texts:
-            if self.added(text):
-                out.append(self._whole(text))
-                continue
-            known, parts = self.young.get, self.chunks.findall(text)
-            found = list(map(known, parts))
-            if None in found:
-                found = [f if f is not None else self.__missing(p) for f, p in zip(found, parts)]
-            out.append(b"".join(found))
-        return out
+        return [self._whole(t) if self.added(t) else b"".join(map(self.young.__getitem__, self.chunks.findall(t))) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -70,6 +70,40 @@ def test_any_text_is_encoded_as_by_the_library(encoders, text):
         assert own.encode([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+WORDY = st.sampled_from([" ", "\n", "\n\n", "\t", "word", "Été", "straße", "ПРИВЕТ", "Ωμέγα", "ª", "Ǆ", "İ", "\u0301", "'", "'s", ",", ".***", "-", "7", "\x01", "½", "日"])
+
+
+@settings(max_examples=600, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(WORDY, max_size=8).map("".join))
+def test_words_with_signs_and_line_ends_are_encoded_as_by_the_library(encoders, text):
+    for own, library in encoders:
+        assert own.encode([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_new_words_need_no_pattern(monkeypatch):
+    """A word of letters is one piece, and signs after it another; patterns are for what else there is."""
+    from types import SimpleNamespace
+
+    from quillon.llm.encoding import Encoder
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, cut = Encoder(tokenizer_path(name)), []
+        monkeypatch.setattr(own, "cut", SimpleNamespace(findall=lambda chunk: cut.append(chunk) or [chunk]))
+        text = "Newwordt newwordt, ñewwordt.***\nÉewwordt!"
+        assert own.encode([text])[0] == reference_ids(name, text).tobytes() and not cut
+
+
+def test_memo_of_two_generations(monkeypatch):
+    from quillon.llm import encoding
+
+    monkeypatch.setattr(encoding, "MEMO", 7)
+    own, rng = encoding.Encoder(tokenizer_path("byte_bpe_50k.json")), random.Random(24)
+    for _ in range(20):
+        text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) + rng.choice(["", ",", "."]) for _ in range(60))
+        assert own.encode([text])[0] == reference_ids("byte_bpe_50k.json", text).tobytes()
+        assert len(own.young) <= 7 and len(own.old) <= 7
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
